@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import embeddings, secrets, simhash
 from .common import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every vector."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts, digest of the base spans, all spans."""
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs.select("doc_id", "text"), secrets.fit(docs), keep=["doc_id"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
