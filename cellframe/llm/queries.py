@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, secrets, simhash
-from .common import materialize, read
+from . import embeddings, langid, quality, secrets, simhash, toxicity
+from .common import held_out, materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,40 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that may be learned from."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that may be learned from."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and selection of every document."""
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "expected_grade",
+        "tail_probability",
+        (F.col("tail_probability") >= quality.REJECT_BELOW).alias("kept"),
+    )
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate component of every vector."""
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -36,6 +70,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_toxicity": op2_toxicity,
+        "op4_language_id": op4_language_id,
+        "op7_quality": op7_quality,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
