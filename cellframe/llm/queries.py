@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, quality, secrets, simhash, toxicity
+from . import decontaminate, embeddings, langid, quality, secrets, simhash, toxicity
 from .common import held_out, materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and selection of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -72,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op4_language_id": op4_language_id,
+        "op5_decontamination": op5_decontamination,
         "op7_quality": op7_quality,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_secret_scan": op10_secret_scan,
@@ -79,4 +85,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": decontaminate.oracle_sql(),
+    }
