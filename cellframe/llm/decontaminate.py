@@ -125,7 +125,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same by comparing every aligned word, without hashes (DuckDB)."""
     offsets = [f"({k}, {o})" for k, mask in enumerate(MASKS) for o in mask]
-    tokens = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), x -> x <> '')"
+    tokens = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
     return f"""
     WITH items AS (SELECT item_id, {tokens} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
     long_items AS (SELECT item_id, w, len(w) AS n FROM items WHERE len(w) >= {LEAST_WORDS}),

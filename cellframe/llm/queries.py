@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, quality, secrets, simhash, toxicity
+from . import decontaminate, embeddings, langid, pieces, quality, secrets, simhash, toxicity
 from .common import held_out, materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, keep=["doc_id"], check=True)
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate component of every vector."""
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -79,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op7_quality": op7_quality,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
