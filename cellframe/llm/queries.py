@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, pieces, quality, secrets, simhash, toxicity
+from . import decontaminate, embeddings, langid, licenses, passages, pieces, quality, secrets, simhash, toxicity
 from .common import held_out, materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of repeated paragraphs and passages in all documents."""
+    return passages.find_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that may be learned from."""
     docs = read(spark, sf_dir, "documents")
@@ -47,6 +52,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document; a document is a file in the folder of its source."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs, "doc_id", path)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and selection of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -82,8 +94,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
+        "op6_license_scan": op6_license_scan,
         "op7_quality": op7_quality,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
