@@ -14,29 +14,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_IDS
+
 #: A bucket stays whole up to this many rows, however small the partitions are.
 LEAST_SHARD = 128
 
 
-def deal(rows: DataFrame, id_col: str, least: int = LEAST_SHARD) -> DataFrame:
+def deal(rows: DataFrame, id_col: str, least: int = LEAST_SHARD, most: int | None = None) -> DataFrame:
     """``rows`` (with a ``bucket`` column), as groups of rows to compare.
 
     Adds ``i``, ``j`` (a group is bucket, i, j) and ``shard`` (equal to i or j),
     drops buckets of one row, and leaves each group whole and sorted in one
-    partition. The list of hot buckets that is broadcast holds at most a quarter
-    as many rows as there are partitions, by the choice of the threshold.
+    partition. A bucket is hot beyond four times the rows of an even partition, so
+    that there are at most a quarter as many hot ones as partitions; ``most``
+    lowers that, for comparisons that cost more. The list of hot buckets is
+    broadcast if it is short.
     """
     spark = rows.sparkSession
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     total = counts.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 200_000))
     shard = max(least, math.ceil(4 * total / parts))
+    if most is not None:
+        shard = min(shard, most)
     hot = counts.where(F.col("n") > shard).select(
         "bucket", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("r")
     )
     single = counts.where("n > 1").select("bucket")
     live = rows.join(single, "bucket", "left_semi")
-    live = live.join(F.broadcast(hot), "bucket", "left")
+    short = most is None or total <= BROADCAST_IDS * most
+    live = live.join(F.broadcast(hot) if short else hot, "bucket", "left")
     own = F.when(
         F.col("r").isNull(), F.lit(0)
     ).otherwise(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.col("r")).cast("int"))

@@ -10,8 +10,10 @@ cluster keeps its first occurrence (smallest doc_id, then place).
 
 Within a band each paragraph is first compared with the band's least one only;
 that settles bands whose members are all alike, however many. Then members of one
-band that are still in different components are compared with one another, so that
-no link between components is lost, and copies are never expanded into all pairs.
+band that are still in different components are compared with one another within
+tasks, large bands in pairs of shards: first by their MinHash values (at least
+``AGREE`` of 36; a pair of similarity 0.8 has fewer once in 100,000 times), then
+exactly, and what leaves a task is one link for each merge, never all pairs.
 
 A passage that repeats inside longer paragraphs is found by winnowing: of every
 ``SLIDE`` consecutive windows of ``WINDOW`` words the one with the least hash is
@@ -35,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import deal, group_starts
 from .common import materialize, small_batches
 from .components import components
 
@@ -43,6 +46,10 @@ SHINGLE = 5
 BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
 WINDOW, SLIDE = 30, 22
+#: MinHash values in which two paragraphs agree before they are compared exactly.
+AGREE = 19
+#: Members of a band that one task compares with one another, twice at most.
+SHARD = 1000
 MEMO = 150_000
 #: Paragraph hashes that may be broadcast; more go through a shuffled join.
 BROADCAST_HASHES = 500_000
@@ -72,23 +79,37 @@ def run_hashes(w: np.ndarray, size: int) -> np.ndarray:
 
 
 def winnow(h: np.ndarray, slide: int = SLIDE) -> np.ndarray:
-    """Places of the least hash of every ``slide`` consecutive ones (of equal ones the first)."""
+    """Places of the least hash of every ``slide`` consecutive ones (of equal ones the first).
+
+    Where a text repeats itself, so that equal hashes follow one another, one in
+    ``slide`` places is enough.
+    """
     if not len(h):
         return np.zeros(0, np.int64)
     if len(h) <= slide:
         return np.array([int(h.argmin())])
     view = np.lib.stride_tricks.sliding_window_view(h, slide)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    new = np.ones(len(at), bool)
+    new[1:] = h[at[1:]] != h[at[:-1]]
+    step = (at - np.maximum.accumulate(np.where(new, at, 0))) // slide
+    new[1:] |= step[1:] != step[:-1]
+    return at[new]
 
 
-def minhash(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) band keys; paragraph k's shingles begin at ``starts[k]``."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS * ROWS) MinHash values of 32-bit shingles."""
     least = np.empty((len(starts), BANDS * ROWS), np.uint32)
     for i in range(BANDS * ROWS):
-        y = x * _A[i] + _B[i]
+        y = shingles * _A[i] + _B[i]
         y ^= y >> np.uint32(15)
         least[:, i] = np.minimum.reduceat(y * np.uint32(2246822519), starts)
+    return least
+
+
+def minhash(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS) band keys; paragraph k's shingles begin at ``starts[k]``."""
+    least = signatures(shingles, starts)
     keys = np.zeros((len(starts), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(starts), b + 1, np.uint64)
@@ -133,7 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start.append(low)
                     end.append(high)
                     hashes.append(xxhash.xxh64_intdigest(w[low:high].tobytes()))
-                    s = np.unique(grams[low : high - SHINGLE + 1])
+                    s = np.unique((grams[low : high - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32))
                     shingles.append(s)
                     sizes.append(len(s))
                 low = high
@@ -141,11 +162,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(shingles)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             keys = minhash(flat, offsets[:-1])
-            short = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield _rows(
                 doc, start, end, np.array(hashes, np.uint64).view(np.int64),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short)),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32))),
             )
         if window_doc:
             at = np.concatenate(window_at)
@@ -174,6 +194,81 @@ def _jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     )
 
 
+def _settle(similarity: float):
+    """For mapInArrow over dealt rows: links that merge components, one for each merge."""
+
+    def merges(h, c, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
+        signs = signatures(np.concatenate(sets), starts)
+        _, label = np.unique(c, return_inverse=True)
+        root = np.arange(label.max() + 1)
+        made: dict[int, set] = {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def members(k: int) -> set:
+            if k not in made:
+                made[k] = set(sets[k].tolist())
+            return made[k]
+
+        src, dst = [], []
+        for a in range(len(h) - 1):
+            flat = root[root]
+            while (flat != root).any():
+                root[:] = flat
+                flat = root[root]
+            apart = np.flatnonzero(root[label[a + 1 :]] != root[label[a]]) + a + 1
+            if not len(apart):
+                continue
+            for b in apart[(signs[apart] == signs[a]).sum(axis=1) >= AGREE].tolist():
+                ra, rb = find(label[a]), find(label[b])
+                if ra == rb:
+                    continue
+                common = len(members(a) & members(b))
+                if common >= similarity * (len(members(a)) + len(members(b)) - common):
+                    root[max(ra, rb)] = min(ra, rb)
+                    src.append(int(h[a]))
+                    dst.append(int(h[b]))
+        return src, dst
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list | None = None
+
+        def settle(cols) -> pa.RecordBatch:
+            bucket, i, j, h, c, sets = cols
+            starts = group_starts(bucket, i, j).tolist()
+            src, dst = [], []
+            for s, e in zip(starts, [*starts[1:], len(h)], strict=True):
+                if e - s > 1 and (c[s:e] != c[s]).any():
+                    x, y = merges(h[s:e], c[s:e], sets[s:e])
+                    src += x
+                    dst += y
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            lists = batch.column(5)
+            values, edges = lists.flatten().to_numpy().view(np.uint32), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            cols = [*flat, [values[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]]
+            if rest is not None:
+                cols = [*[np.concatenate(z) for z in zip(rest[:5], flat, strict=True)], rest[5] + cols[5]]
+            last = int(group_starts(*cols[:3])[-1])
+            if last >= 2_000:
+                yield settle([z[:last] for z in cols])
+                cols = [z[last:] for z in cols]
+            rest = cols
+        if rest is not None:
+            yield settle(rest)
+
+    return run
+
+
 def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of paragraph hashes that verified links connect."""
     keys = paragraphs.select("h", F.explode("bands").alias("key"))
@@ -191,10 +286,9 @@ def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> Da
     named = live.join(found, live.h == found.node, "left").select("key", "h", "least", F.coalesce("root", "h").alias("c"))
     apart = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
     open_ = materialize(named.where("h != least").join(apart, "key", "left_semi"), "open")
-    x = open_.select("key", F.col("h").alias("a"), F.col("c").alias("ca"))
-    y = open_.select("key", F.col("h").alias("b"), F.col("c").alias("cb"))
-    second = x.join(y, "key").where("ca < cb").select("a", "b").distinct()
-    more = materialize(_jaccard(second, sets, similarity), "links")
+    rows = open_.join(sets, "h").select(F.col("key").alias("bucket"), "h", "c", "shingles")
+    dealt = deal(rows, "h", most=SHARD).select("bucket", "i", "j", "h", "c", "shingles")
+    more = materialize(dealt.mapInArrow(_settle(similarity), "src long, dst long"), "links")
     if more.isEmpty():
         return found
     return components(links.unionByName(more))
