@@ -10,7 +10,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRANSFORMS = ("log1p", "zscore")
@@ -186,7 +186,7 @@ def condition_vector(schema: ConditionSchema) -> Column:
         if c.kind == "numerical":
             parts.append(F.array(_transformed(source.cast("double"), c.transforms, c.stats).cast("float")))
         elif c.encoding == "onehot":
-            parts.append(F.transform(F.lit(list(c.categories)), lambda k, s=source: (k == s.cast("string")).cast("float")))
+            parts.append(F.array(*[F.coalesce(source.cast("string") == k, F.lit(False)).cast("float") for k in c.categories]))
         else:
             table = F.create_map(*[F.lit(x) for kv in c.mean_table.items() for x in kv])
             parts.append(F.array(F.try_element_at(table, source.cast("string")).cast("float")))
@@ -195,8 +195,6 @@ def condition_vector(schema: ConditionSchema) -> Column:
 
 def label_index(cells: DataFrame, label: str) -> DataFrame:
     """(label, idx): the values of a column in their order, as text."""
-    from pyspark.sql import Window
-
     values = cells.select(F.col(f"`{label}`").alias("v")).where("v is not null").distinct()
     idx = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")) - 1
     return values.select(F.col("v").cast("string").alias("label"), idx.cast("long").alias("idx"))
