@@ -56,7 +56,7 @@ def ngrams(text: str | None) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of blanks in a row, the first
     c = np.where(letter, c, np.uint32(32))[keep]
-    c = np.concatenate([np.uint32([32]), c, np.uint32([32])])
+    c = np.concatenate([np.uint32([32]), c, np.uint32([32] if letter[-1] else [])])
     a, b, d = _MULTIPLIERS
     one, two, three = c * a, c * b, c * d
     parts = [one, one[:-1] + two[1:] + np.uint32(77), one[:-2] + two[1:-1] + three[2:] + np.uint32(5077)]
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> LanguageModel:
     cut = max(1, len(rows) // 5)
     held, learned = rows[::5][:cut], [r for k, r in enumerate(rows) if k % 5] or rows
     weights, bias = train_ftrl(learned, max(len(languages), 1))
-    logits = np.array([v @ weights[at] + bias for at, v, _ in held]).reshape(len(held), -1)
+    logits = np.array([v @ weights[at] + bias for at, v, _ in held]).reshape(len(held), max(len(languages), 1))
     temperature = fit_temperature(logits, np.array([y for _, _, y in held], np.int64)) if len(languages) > 1 else 1.0
     return LanguageModel(languages, idf.astype(np.float32), weights.astype(np.float32), bias, temperature)
 
