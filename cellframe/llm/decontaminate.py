@@ -109,10 +109,15 @@ def _block_hits(docs: DataFrame, items: DataFrame, hashed: Column, lengths: list
     low = F.greatest(F.lit(0), F.col("at") - MARGIN)
     high = F.least(F.size("w"), F.col("at") + span + MARGIN) - 1
     shift = F.col("p") - F.col("at")
-    same = F.size(
-        F.filter(F.sequence(low, high), lambda i: F.coalesce(F.get("dw", i + shift) == F.get("w", i), F.lit(False)))
+    # compared word by word as rows that are summed at once, without a lambda: so it all
+    # stays in the generated code of the join, and no row with a document's words leaves it
+    hits = hits.select("doc_id", "item", "item_id", "at", shift.alias("shift"), "dw", "w", F.explode(F.sequence(low, high)).alias("q"))
+    same = F.coalesce(F.get("dw", F.col("q") + F.col("shift")) == F.get("w", F.col("q")), F.lit(False))
+    sums = hits.groupBy("doc_id", "item", "item_id", "at", "shift").agg(
+        F.sum(same.cast("int")).alias("same"), F.count("*").alias("n"), F.min("q").alias("low"), F.max("q").alias("high")
     )
-    found = hits.select("doc_id", "item_id", same.alias("n_matched"), (high - low + 1).alias("n_compared"))
+    compared = F.col("high") - F.col("low") + 1  # each mask that hits here has given as many rows
+    found = sums.select("doc_id", "item_id", (F.col("same") * compared / F.col("n")).cast("int").alias("n_matched"), compared.alias("n_compared"))
     return found.where(F.col("n_matched") >= F.lit(LEAST_MATCH) * F.col("n_compared"))
 
 
