@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -232,30 +232,49 @@ class ToxicityModel:
 
 
 def _unit_counts(sample: DataFrame) -> list:
-    """(fold, unit, toxic documents, clean ones) of units that several toxic documents have."""
+    """(unit, toxic documents and clean ones of either fold) of units that toxic documents share.
+
+    Copies of one toxic document share all its rare words, which says nothing. So a
+    unit must stand between different words in several toxic documents: the pairs of
+    its neighbours, a bit each of 64, are told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter = Counter()
+            counts: dict[tuple[int, str], list[int]] = {}
             for fold, toxic, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                for u in {u for w in set(_WORD.findall((text or "").lower())) for u in units(w)}:
-                    counts[fold, u, toxic] += 1
-            keys = list(counts)
+                words = ["", *_WORD.findall((text or "").lower()), ""]
+                seen: set[str] = set()
+                for k in {w: k for k, w in reversed(list(enumerate(words)))}.values():
+                    if not words[k]:
+                        continue
+                    place = 1 << (zlib.crc32(f"{words[k - 1]} {words[k + 1]}".encode("utf-8", "replace")) & 63)
+                    for u in units(words[k]):
+                        if u not in seen:
+                            seen.add(u)
+                            found = counts.setdefault((fold, u), [0, 0, 0])
+                            found[toxic] += 1
+                            found[2] |= place * toxic
+            keys, values = list(counts), np.array(list(counts.values()), np.uint64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keys], pa.int32()),
                     pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([counts[k] * k[2] for k in keys], pa.int64()),
-                    pa.array([counts[k] * (1 - k[2]) for k in keys], pa.int64()),
+                    pa.array(values[:, 1].astype(np.int64)),
+                    pa.array(values[:, 0].astype(np.int64)),
+                    pa.array(np.ascontiguousarray(values[:, 2]).view(np.int64)),
                 ],
-                names=["fold", "unit", "toxic", "clean"],
+                names=["fold", "unit", "toxic", "clean", "places"],
             )
 
-    rows = sample.select("fold", "toxic", "text").mapInArrow(run, "fold int, unit string, toxic long, clean long")
+    schema = "fold int, unit string, toxic long, clean long, places long"
+    rows = sample.select("fold", "toxic", "text").mapInArrow(run, schema)
     wide = rows.groupBy("unit").agg(
-        *[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("toxic", "clean")]
+        *[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("toxic", "clean")],
+        F.bit_or("places").alias("places"),
     )
-    return wide.where("toxic0 + toxic1 >= 4 and toxic0 + toxic1 > 0.3 * (clean0 + clean1)").collect()
+    many = F.bit_count("places") >= F.least(F.lit(20), F.greatest(F.lit(4), (F.col("toxic0") + F.col("toxic1")) / 3))
+    return wide.where("toxic0 + toxic1 >= 4 and toxic0 + toxic1 > 0.3 * (clean0 + clean1)").where(many).collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> ToxicityModel:
