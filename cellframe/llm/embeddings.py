@@ -273,3 +273,26 @@ def near_duplicates(
 def _deal_vectors(hashed: DataFrame, rows: DataFrame) -> DataFrame:
     """Buckets of one vector are dropped before vectors are carried to them."""
     return deal(rows, "node").select("bucket", "i", "j", "shard", "node", "copies", "embedding")
+
+
+def oracle_sql(threshold: float = 0.95) -> str:
+    """The same by comparing all pairs and following links (DuckDB)."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    good AS (
+        SELECT DISTINCT vec_id, x FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND list_count(x) = len(x)
+        AND isfinite(list_sum(x)) AND list_max(list_transform(x, lambda c: abs(c))) > 0
+    ),
+    pairs AS (
+        SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+        ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {threshold}
+    ),
+    reach AS (
+        SELECT vec_id AS node, vec_id AS seen FROM v WHERE vec_id IS NOT NULL
+        UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.seen
+    ),
+    least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+    links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+    SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+    FROM v LEFT JOIN least ON node = vec_id LEFT JOIN links ON a = vec_id
+    """

@@ -108,4 +108,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": decontaminate.oracle_sql(),
+        "op9_embedding_near_dedup": embeddings.oracle_sql(),
     }
