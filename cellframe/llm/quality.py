@@ -36,7 +36,7 @@ MOST_DOCS = 8000
 MEMO = 100_000
 #: Documents whose tail probability is below this are rejected.
 REJECT_BELOW = 0.25
-_SHAPES = [(re.compile(r"[^\W\d_]"), None), (re.compile(r"\d"), "0")]
+_UPPER, _SIGNS = bytes(range(65, 91)), b"!#$%&*|<>=@\\^~{}"
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -44,32 +44,43 @@ def _feature(kind: str, text: str) -> int:
     return zlib.crc32(f"{kind}\0{text}".encode("utf-8", "replace")) & ((1 << BITS) - 1)
 
 
+class _Kinds(dict):
+    """For ``str.translate``: letters to A or a, digits to 0, others to themselves; filled as met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def shape(word: str) -> str:
     """The word's kinds of characters, runs cut short: ``AA!!`` for ``THE!!``."""
-    kinds = "".join(
-        ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]
-    )
-    return _RUNS.sub(r"\1\1", kinds)
+    return _RUNS.sub(r"\1\1", word[:40].translate(_KINDS))
 
 
 class Featurizer:
     """The two features of a word, remembered; and those of a whole text."""
 
     def __init__(self):
-        self.memo: dict[str, tuple[int, int]] = {}
+        self.memo: dict[str, int] = {}
 
-    def word(self, word: str) -> tuple[int, int]:
+    def word(self, word: str) -> int:
+        """The features of the word and of its shape, in one number."""
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        found = self.memo[word] = (_feature("w", word.lower()), _feature("s", shape(word)))
+        found = self.memo[word] = _feature("w", word.lower()) << BITS | _feature("s", shape(word))
         return found
 
     def measures(self, text: str, words: list[str]) -> list[int]:
         """Bucketed measures of the whole text, a feature each."""
         n, lines = len(words), [x for x in text.split("\n") if x]
         size = max(len(text), 1)
-        upper = len(re.findall("[A-Z]", text)) / size
-        plain = len(text) - len(re.findall(r"[!#$%&*|<>=@\\^~{}]", text))
+        raw = text.encode("utf-8", "replace")
+        upper = (len(raw) - len(raw.translate(None, _UPPER))) / size
+        plain = len(text) - (len(raw) - len(raw.translate(None, _SIGNS)))
         values = {
             "distinct": int(20 * len(set(words)) / max(n, 1)),
             "lines": int(10 * len(set(lines)) / max(len(lines), 1)),
@@ -85,8 +96,8 @@ class Featurizer:
     def words(self, text: str) -> tuple[list[str], np.ndarray]:
         words = text.split()
         memo, make = self.memo, self.word
-        found = [memo.get(w) or make(w) for w in words]
-        return words, np.array(found, np.int64).reshape(-1)
+        found = np.array([memo.get(w) or make(w) for w in words], np.int64)
+        return words, np.stack([found >> BITS, found & ((1 << BITS) - 1)], axis=1).reshape(-1)
 
 
 @dataclass(frozen=True)
