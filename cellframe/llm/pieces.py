@@ -365,7 +365,7 @@ class Encoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({w for words in split for w in words} - memo.keys())
+        new = [w for w in {w for words in split for w in words} if w not in memo]
         parts = [w[1:] if w[:1] == "\0" else BLANK + w for w in new]
         for a, b in chunks(map(len, parts), GROUP_CHARS):
             memo.update(zip(new[a:b], self.shortest_paths(parts[a:b]), strict=True))
