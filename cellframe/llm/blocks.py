@@ -60,6 +60,23 @@ def deal(rows: DataFrame, id_col: str, least: int = LEAST_SHARD, most: int | Non
     )
 
 
+def join_hot(rows: DataFrame, one: DataFrame, key: str, total: int, least: int = LEAST_SHARD) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row a key and ``n``, the key's rows in ``rows``.
+
+    No key's rows have to meet in one task: those of a hot key (more than four times
+    an even partition of the ``total`` rows) find its row of ``one`` by a broadcast of
+    the hot keys alone, at most a quarter as many as there are partitions. ``n`` is
+    dropped. Rows whose key is null or not in ``one`` are, too.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = max(least, math.ceil(4 * total / parts))
+    if total <= bound:  # no key can have more
+        return rows.join(one.drop("n"), key)
+    hot = one.where(F.col("n") > bound).drop("n")
+    even = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") <= bound).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(even)
+
+
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """Where the groups of equal keys begin in sorted columns."""
     n = len(keys[0])

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014). A node with
 very many links costs no task its whole list: minima are partial aggregates, and
-the join that hands them back may be split by adaptive execution.
+those of the few hot nodes are handed back by a broadcast (``join_hot``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import join_hot
 from .common import materialize
 
 #: Alternations after which the steps stop; the method needs O(log² n).
@@ -33,7 +34,7 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     if not before[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(MOST_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        edges = materialize(_small_star(_large_star(edges, before[0]), before[0]), "stars")
         now = _mark(edges)
         if now == before:
             break
@@ -51,17 +52,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each larger neighbour of a node gets the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(
         edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+    least = least.select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(both.where("v > u"), least, "u", n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each node's smaller neighbours, and the node, get the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(edges, least, "u", n_edges).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import deal, group_starts, roots_of_pairs
+from .blocks import deal, group_starts, join_hot, roots_of_pairs
 from .common import map_rows, materialize, without_ids
 from .components import components
 
@@ -194,15 +194,19 @@ def near_duplicates(
     Exact copies share a fingerprint and are one node; ``component_id`` is the
     smallest id that links reach.
     """
-    classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "classes")
-    comp = components(link_fingerprints(classes.select("fingerprint"), max_bits))
-    named = classes.join(comp, classes.fingerprint == comp.node, "left")
-    least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    names = named.join(least, "root", "left").select(
-        "fingerprint", F.coalesce("smallest", "least").alias("component_id")
+    grouped = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
+    classes = materialize(grouped, "classes")
+    roots = materialize(components(link_fingerprints(classes.select("fingerprint"), max_bits)), "roots")
+    linked = classes.join(roots, classes.fingerprint == roots.node).select("fingerprint", "least", "root")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("n"))
+    named = join_hot(linked.select("fingerprint", "root"), smallest, "root", roots.count())
+    names = classes.join(named, "fingerprint", "left").select(
+        "fingerprint", F.coalesce("smallest", "least").alias("component_id"), "n"
     )
+    names = materialize(names, "names")
     kept = [c for c in prints.columns if c != "component_id"]
-    return prints.select(*kept).join(names, "fingerprint").select(*kept, "component_id")
+    total = names.agg(F.sum("n")).first()[0] or 0
+    return join_hot(prints.select(*kept), names, "fingerprint", total).select(*kept, "component_id")
 
 
 def hex_digits(fingerprint: Column) -> Column:

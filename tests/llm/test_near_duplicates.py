@@ -262,3 +262,24 @@ def test_passages_of_odd_rows(spark, odd, nothing):
     again = odd.where("doc_id = 7").withColumn("doc_id", F.lit(70).cast("long")).unionByName(odd)
     got = passages.find_repeats(again).collect()
     assert {r.doc_id for r in got} == {7, 70} and all(r.kept == (r.doc_id == 7) for r in got)
+
+
+def test_hot_keys_join_like_any_other(spark):
+    from pyspark.sql import functions as F
+
+    from cellframe.llm.blocks import join_hot
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("k"))
+    rows = rows.unionByName(spark.createDataFrame([(9999, None)], "id long, k long"))
+    one = rows.where("k % 5 != 1 and k is not null").groupBy("k").agg(F.min("id").alias("m"), F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(one.drop("n"), "k").collect()))
+    for total, least in ((3000, 128), (3000, 1), (10, 128), (0, 0)):
+        assert sorted(map(tuple, join_hot(rows, one, "k", total, least).select("k", "id", "m").collect())) == want
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from cellframe.llm.components import components
+
+    links = [(1, k) for k in range(2, 2000)] + [(k, k + 1) for k in range(5000, 5300)] + [(5300, 1999)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == {k: 1 for k in [*range(1, 2000), *range(5000, 5301)]}
