@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import deal, group_starts
+from .blocks import deal, group_starts, join_hot
 from .common import materialize, small_batches
 from .components import components
 
@@ -308,12 +308,14 @@ def find_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     paragraphs = rows.where("bands is not null")
     found = link_paragraphs(paragraphs, similarity)
     place = F.struct("doc_id", "start")
-    classes = paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
-    named = classes.join(found, classes.h == found.node, "left").select("h", "first", "last", F.coalesce("root", "h").alias("root"))
-    clusters = named.groupBy("root").agg(F.min("first").alias("cluster"), F.max("last").alias("last"))
-    clusters = clusters.where(F.col("cluster.doc_id") != F.col("last")).select("root", "cluster")
-    names = named.select("h", "root").join(clusters, "root").select("h", "cluster")
-    again = paragraphs.select("doc_id", "start", "end", "h").join(names, "h")
+    classes = paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
+    named = classes.join(found, classes.h == found.node, "left").select("h", "first", "last", "rows", F.coalesce("root", "h").alias("root"))
+    named = materialize(named, "paragraphs")
+    clusters = named.groupBy("root").agg(F.min("first").alias("cluster"), F.max("last").alias("last"), F.count("*").alias("n"))
+    clusters = clusters.where(F.col("cluster.doc_id") != F.col("last")).select("root", "cluster", "n")
+    names = join_hot(named.select("h", "root", "rows"), clusters, "root", named.count())
+    names = materialize(names.select("h", "cluster", F.col("rows").alias("n")), "names")
+    again = join_hot(paragraphs.select("doc_id", "start", "end", "h"), names, "h", _rows_of(names))
     out = again.select(
         "doc_id", F.lit("paragraph").alias("unit"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
         F.col("cluster.doc_id").alias("cluster_doc"), F.col("cluster.start").alias("cluster_start"),
@@ -322,12 +324,18 @@ def find_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.unionByName(_repeated_windows(rows.where("bands is null")))
 
 
+def _rows_of(names: DataFrame) -> int:
+    return names.agg(F.sum("n")).first()[0] or 0
+
+
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """Windows that two documents share, overlapping ones of a document joined to passages."""
     windows = windows.select("doc_id", "start", "end", "h")
-    seen = windows.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("cluster"), F.max("doc_id").alias("last"))
-    seen = seen.where(F.col("cluster.doc_id") != F.col("last")).select("h", "cluster")
-    again = windows.join(seen, "h").select(
+    seen = windows.groupBy("h").agg(
+        F.min(F.struct("doc_id", "start")).alias("cluster"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+    )
+    seen = materialize(seen.where(F.col("cluster.doc_id") != F.col("last")).select("h", "cluster", "n"), "seen")
+    again = join_hot(windows, seen, "h", _rows_of(seen)).select(
         "doc_id", "start", "end", F.col("cluster.doc_id").alias("cluster_doc"),
         F.col("cluster.start").alias("first"),
     )
