@@ -183,7 +183,7 @@ def _rows(doc, start, end, h, bands, shingles) -> pa.RecordBatch:
 _SCHEMA = "doc_id long, start int, end int, h long, bands array<long>, shingles array<int>"
 
 
-def _jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """``pairs`` (a, b) whose shingle sets are similar enough."""
     left = sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb"))
@@ -281,7 +281,7 @@ def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> Da
     sets = materialize(
         paragraphs.select("h", "shingles").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "sets"
     )
-    links = materialize(_jaccard(first, sets, similarity), "links")
+    links = materialize(jaccard(first, sets, similarity), "links")
     found = components(links)
     named = live.join(found, live.h == found.node, "left").select("key", "h", "least", F.coalesce("root", "h").alias("c"))
     apart = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")

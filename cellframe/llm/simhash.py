@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from .blocks import deal, group_starts, join_hot, roots_of_pairs
 from .common import map_rows, materialize, without_ids
 from .components import components
+from .passages import BANDS, SIMILARITY, jaccard, link_paragraphs, minhash
 
 SEED = 42
 BITS = 64
@@ -56,9 +57,8 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     return np.array(hashes, np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint as a signed 64-bit integer: a bit is set in over half the hashes."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray) -> int:
+    """Signed 64 bits: a bit is set that is in over half the hashes; of none it is zero."""
     if not len(h):
         return 0
     count = np.zeros(BITS, np.int64)
@@ -70,6 +70,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The fingerprint as a signed 64-bit integer: a bit is set in over half the hashes."""
+    return majority(shingle_hashes(text, words))
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with a column ``fingerprint`` (long; its 64 bits are the fingerprint's)."""
 
@@ -197,16 +202,21 @@ def near_duplicates(
     grouped = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     classes = materialize(grouped, "classes")
     roots = materialize(components(link_fingerprints(classes.select("fingerprint"), max_bits)), "roots")
-    linked = classes.join(roots, classes.fingerprint == roots.node).select("fingerprint", "least", "root")
+    return _named(prints, classes, roots, "fingerprint")
+
+
+def _named(prints: DataFrame, classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``prints`` with ``component_id``; ``classes`` (key, least, n) are linked by ``roots`` (node, root)."""
+    linked = classes.join(roots, classes[key] == roots.node).select(key, "least", "root")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("n"))
-    named = join_hot(linked.select("fingerprint", "root"), smallest, "root", roots.count())
-    names = classes.join(named, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("smallest", "least").alias("component_id"), "n"
+    named = join_hot(linked.select(key, "root"), smallest, "root", roots.count())
+    names = classes.join(named, key, "left").select(
+        key, F.coalesce("smallest", "least").alias("component_id"), "n"
     )
     names = materialize(names, "names")
     kept = [c for c in prints.columns if c != "component_id"]
     total = names.agg(F.sum("n")).first()[0] or 0
-    return join_hot(prints.select(*kept), names, "fingerprint", total).select(*kept, "component_id")
+    return join_hot(prints.select(*kept), names, key, total).select(*kept, "component_id")
 
 
 def hex_digits(fingerprint: Column) -> Column:
@@ -214,10 +224,72 @@ def hex_digits(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, max_bits: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    prints = materialize(with_fingerprints(docs, keep=["doc_id"]), "prints")
-    found = near_duplicates(prints, max_bits)
+def _units(words: int):
+    """For map_rows: a text's shingle set as a hash, its fingerprint, MinHash bands and 32-bit shingles."""
+
+    def work(cols: list[list]) -> list[pa.Array]:
+        h, prints, sets = [], [], []
+        for text in cols[0]:
+            hashes = shingle_hashes(text, words)
+            distinct = np.unique(hashes)
+            h.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+            prints.append(majority(hashes))
+            # no words: a set of one, so that such texts are copies of one another
+            sets.append(np.unique(distinct.astype(np.uint32)) if len(distinct) else np.zeros(1, np.uint32))
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        edges = np.cumsum([0, *map(len, sets)])
+        keys = minhash(flat, edges[:-1]) if sets else np.zeros((0, BANDS), np.int64)
+        return [
+            pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(prints, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.view(np.int32))),
+        ]
+
+    return lambda: work
+
+
+_UNIT = T.StructType([
+    T.StructField("h", T.LongType()), T.StructField("fingerprint", T.LongType()),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType())),
+])
+
+
+def near_copies(units: DataFrame, similarity: float = SIMILARITY, max_bits: int = 3) -> DataFrame:
+    """``units`` (doc_id and the columns of ``_UNIT``, materialized) with ``component_id``.
+
+    Two texts link if the exact Jaccard similarity of their shingle sets is
+    ``similarity`` or more. At 0.8 some 10 of 64 bits differ, a budget at which the
+    trie join would compare nearly all pairs; so candidates come from MinHash bands
+    (found with probability 0.991 at 0.8) beside the fingerprints within ``max_bits``.
+    """
+    found = materialize(link_paragraphs(units, similarity), "roots")
+    prints = units.groupBy("fingerprint").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    prints = materialize(prints, "classes")
+    links = link_fingerprints(prints.select("fingerprint"), max_bits)
+    least = prints.select("fingerprint", "least")
+    near = links.join(least.toDF("src", "a"), "src").join(least.toDF("dst", "b"), "dst").select("a", "b")
+    same = units.join(prints.where("least != most"), "fingerprint").where("h != least")
+    pairs = near.unionByName(same.select(F.col("h").alias("a"), F.col("least").alias("b"))).where("a != b").distinct()
+    pairs = materialize(pairs, "pairs")
+    root = found.toDF("b", "rb")
+    ends = pairs.groupBy("b").agg(F.count("*").alias("n")).join(root, "b", "left")
+    both = join_hot(pairs, ends, "b", pairs.count()).join(found.toDF("a", "ra"), "a", "left")
+    apart = materialize(both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
+    if not apart.isEmpty():
+        wanted = apart.select(F.col("a").alias("h")).union(apart.select("b")).distinct()
+        sets = units.select("h", "shingles").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+        more = materialize(jaccard(apart, materialize(sets, "sets"), similarity), "links")
+        if not more.isEmpty():
+            more = more.unionByName(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+            found = materialize(components(more), "roots")
+    classes = units.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    return _named(units.select("doc_id", "h"), materialize(classes, "classes"), found, "h")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies (``near_copies``), the one with the smallest id."""
+    prints = materialize(map_rows(docs, ["text"], _UNIT, _units(words), keep=["doc_id"]), "prints")
+    found = near_copies(prints, similarity)
     drop = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "drop")
     kept = without_ids(docs, drop)
     twice = materialize(

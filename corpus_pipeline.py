@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: of each group the document with the smallest id stays."""
+    """Near copies by SimHash and MinHash bands, of 5-word Jaccard 0.8 or more: of each group the smallest id stays."""
     return simhash.deduplicate(docs)
 
 

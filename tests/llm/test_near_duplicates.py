@@ -117,6 +117,26 @@ def test_simhash_of_odd_rows(spark, odd, nothing):
     assert simhash.deduplicate(nothing).count() == 0
 
 
+def test_near_copies_go_as_by_exact_jaccard(spark):
+    """Texts of 5-word similarity 0.8 or more whose fingerprints differ in far more than 3 bits."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):
+        base = prose(rng, 150, 10_000).split()
+        for _ in range(4):
+            w = list(base)
+            for at in rng.sample(range(5, 145), rng.randrange(1, 5)):
+                w[at] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100, ""), (101, " "), (102, "one two"), (103, "ONE  two"), (104, "two one")]
+    sets = {i: grams(t.lower().split()) or {tuple(t.lower().split())} for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bits = {i: simhash.fingerprint(t, 5) & (2**64 - 1) for i, t in rows}
+    assert sum((bits[a] ^ bits[b]).bit_count() > 3 for a, b in links) > 20
+    got = {r.doc_id for r in simhash.deduplicate(documents(spark, rows)).collect()}
+    assert got == set(roots(sets, links).values())
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
