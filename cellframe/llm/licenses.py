@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine to templates, then inheritance from ancestor directories.
 
 Method. Lines of a file that hold a cue (license, copyright, ...) are its header
-candidates; a file named like a licence (LICENSE, COPYING, ...) is one as a whole.
-Candidates and templates become sparse TF-IDF vectors over the templates' words;
+candidates, and so is the whole paragraph of comment lines around one, without its
+comment signs; a file named like a licence (LICENSE, COPYING, ...) is one as a
+whole, compared with the full licence texts as well. Candidates and templates become sparse TF-IDF vectors over the templates' words;
 the inverse document frequency of a word is counted over all files. A candidate
 gets the template of highest cosine, if that reaches ``LEAST_COSINE``. A file
 without a header of its own takes the license of the licence file in its nearest
@@ -18,8 +19,10 @@ same result. An empty table gives an empty result. Whole texts are scanned.
 
 from __future__ import annotations
 
+import importlib.resources
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,13 +59,23 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
@@ -73,20 +86,41 @@ TEMPLATES = {
 }
 
 
+def _full_texts() -> dict[str, str]:
+    """Whole licence files by name, those in ``licence_texts`` and two that follow from them."""
+    folder = importlib.resources.files(__package__) / "licence_texts"
+    found = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    # the AGPL differs from the GPL by its name and one section
+    found["AGPL-3.0"] = re.sub("(?i)GNU General Public", "GNU Affero General Public", found["GPL-3.0"])
+    found["BSD-2-Clause"] = re.sub(r"(?s)\n3\. Neither.*?permission\.\n", "\n", found["BSD-3-Clause"])
+    return found
+
+
+FULL_TEXTS = _full_texts()
+
+# A line of a comment: the sign that opens it, and what follows.
+_COMMENT = re.compile(r"(?i)[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|<!--+|\"\"\"|\'\'\'|(?:rem|dnl)\b)(.*)")
+_CLOSE = re.compile(r"[ \t]*(?:\*+/|--+>|\"\"\"|\'\'\')?[ \t\r]*$")
+_BLOCK = re.compile(r"(?s)/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)")
+
+
 def terms(text: str) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
-def vocabulary() -> frozenset[str]:
-    return frozenset(t for texts in TEMPLATES.values() for x in texts for t in terms(x))
+def vocabulary(whole: bool = False) -> frozenset[str]:
+    """Words of the notices, or of the full texts too."""
+    found = frozenset(t for texts in TEMPLATES.values() for x in texts for t in terms(x))
+    return found.union(*map(terms, FULL_TEXTS.values())) if whole else found
 
 
 @dataclass(frozen=True)
 class LicenseModel:
-    """The templates as unit TF-IDF vectors."""
+    """The templates as unit TF-IDF vectors; ``whole`` is the model for licence files."""
 
     idf: dict[str, float]
     vectors: tuple[tuple[str, dict[str, float]], ...]
+    whole: LicenseModel | None = None
 
     def vector(self, text: str) -> dict[str, float]:
         """Words outside the templates count toward the length, at the rarest word's weight."""
@@ -107,20 +141,55 @@ class LicenseModel:
 
 
 def model_of(counts: dict[str, int], files: int) -> LicenseModel:
-    idf = {t: math.log((1 + files) / (1 + counts.get(t, 0))) + 1 for t in sorted(vocabulary())}
-    plain = LicenseModel(idf, ())
-    return LicenseModel(idf, tuple((n, plain.vector(x)) for n, texts in sorted(TEMPLATES.items()) for x in texts))
+    def made(words: frozenset[str], texts: list[tuple[str, str]], whole: LicenseModel | None = None) -> LicenseModel:
+        idf = {t: math.log((1 + files) / (1 + counts.get(t, 0))) + 1 for t in sorted(words)}
+        plain = LicenseModel(idf, ())
+        return LicenseModel(idf, tuple((n, plain.vector(x)) for n, x in sorted(texts, key=lambda t: t[0])), whole)
+
+    notices = [(n, x) for n, texts in TEMPLATES.items() for x in texts]
+    return made(vocabulary(), notices, made(vocabulary(True), [*notices, *FULL_TEXTS.items()]))
+
+
+def paragraph(text: str, start: int, end: int, inside) -> tuple[int, int, str] | None:
+    """The comment lines without a gap around the line [start, end); null if that is no comment.
+
+    ``inside`` tells whether a place is in a block comment, whose lines need no sign.
+    """
+
+    def content(a: int, b: int) -> str | None:
+        m = _COMMENT.match(text, a, b)
+        if m is None and not inside(a):
+            return None
+        return _CLOSE.sub("", m[1] if m else text[a:b]).strip() or None
+
+    own = content(start, end)
+    if own is None:
+        return None
+    lines, a, b = [own], start, end
+    while a > 0 and (c := content(p := text.rfind("\n", 0, a - 1) + 1, a - 1)) is not None:
+        lines.append(c)
+        a = p
+    lines.reverse()
+    while b < len(text):
+        e = text.find("\n", b + 1)
+        e = len(text) if e < 0 else e
+        if (c := content(b + 1, e)) is None:
+            break
+        lines.append(c)
+        b = e
+    return (a, b, " ".join(lines)) if len(lines) > 1 else None
 
 
 def candidates(path: str | None, text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, text) of what may state a license: lines with a cue, or a whole licence file."""
+    """(start, end, text) of what may state a license: lines with a cue, comments around them, or a whole licence file."""
     text = text or ""
     if path is not None and is_license_file(path):
         return [(0, len(text), text)] if text else []
     low = text.lower()
-    out, done = [], 0
+    out, done, past = [], 0, -1
     if len(low) != len(text):  # some capitals change length: keep the offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    blocks: list[tuple[int, int]] | None = None
     for m in _CUES.finditer(low):
         if m.start() < done:
             continue
@@ -128,6 +197,15 @@ def candidates(path: str | None, text: str | None) -> list[tuple[int, int, str]]
         b = text.find("\n", m.start())
         done = len(text) if b < 0 else b
         out.append((a, done, text[a:done]))
+        if a < past:
+            continue
+        if blocks is None:
+            blocks = [x.span() for x in _BLOCK.finditer(text)]
+            firsts = [x for x, _ in blocks]
+        found = paragraph(text, a, done, lambda at: (k := bisect_right(firsts, at)) > 0 and at < blocks[k - 1][1])
+        if found:
+            out.append(found)
+            past = found[1]
     return out
 
 
@@ -137,7 +215,7 @@ def is_license_file(path: str) -> bool:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: candidates (term null), and at the end files' counts of template words."""
-    words = vocabulary()
+    words = vocabulary(True)
     counts: Counter = Counter()
     n = 0
     kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
@@ -180,7 +258,8 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", le
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [model.match(t) for t in b.column(5).to_pylist()]
+            files = b.column(2).to_pylist()
+            found = [(model.whole if f else model).match(t) for f, t in zip(files, b.column(5).to_pylist(), strict=True)]
             cols = [*b.columns[:5], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "path", "is_file", "start", "end", "license", "cosine"])
 

@@ -297,6 +297,27 @@ def test_every_template_matches_itself():
             assert model.match(t)[1] == pytest.approx(1.0) and model.match(t.upper())[0] == name
 
 
+def test_real_licence_files_and_wrapped_headers(spark):
+    """Whole texts with a holder of their own and other line ends, and notices over several comment lines."""
+    full = licenses.FULL_TEXTS
+    rows, expected = [], {}
+    for k, name in enumerate(sorted(full)):
+        words = ["Copyright", "(c)", "2019-2024", "Jane", "Roe", "and", "the", "Example", "contributors", *full[name].split(), "End", "of", "file"]
+        rows += [(2 * k, f"{k}/LICENSE", "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))), (2 * k + 1, f"{k}/src/x.py", "code")]
+        expected |= {2 * k: name, 2 * k + 1: name}
+    notice = licenses.TEMPLATES["GPL-2.0"][1].split()
+    wrapped = [" ".join(notice[i : i + 9]) for i in range(0, len(notice), 9)]
+    heads = ["\n".join(f"{sign} {x}" for x in wrapped) for sign in ("#", "//", "--", " *", ";;")] + ["/*\n" + "\n".join(wrapped) + "\n*/"]
+    rows += [(100 + k, f"h/{k}", f"{'#' if h[0] == '#' else ''}\n{h}\n\nint main\n") for k, h in enumerate(heads)]
+    expected |= {100 + k: "GPL-2.0" for k in range(len(heads))}
+    files = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    got = {r.doc_id: r for r in licenses.scan(files, "doc_id", F.col("p")).collect()}
+    assert {i: r.license for i, r in got.items()} == expected
+    assert all(r.cosine > 0.9 for r in got.values())
+    text = rows[-6][2]
+    assert text[got[100].start : got[100].end] == heads[0]
+
+
 def test_licenses_of_odd_rows(odd, nothing):
     assert licenses.scan(odd, "doc_id", F.col("path")).count() >= 12
     assert licenses.scan(nothing, "doc_id", F.col("path")).count() == 0
