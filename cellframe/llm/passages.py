@@ -18,7 +18,8 @@ exactly, and what leaves a task is one link for each merge, never all pairs.
 A passage that repeats inside longer paragraphs is found by winnowing: of every
 ``SLIDE`` consecutive windows of ``WINDOW`` words the one with the least hash is
 recorded, so that two documents which share a run of ``WINDOW + SLIDE - 1`` words
-(51) or more share a recorded window.
+(51) or more share a recorded window. Each passage of such windows is extended
+word by word, to the left and right, until it differs from the cluster's first.
 
 Cases. Null and empty texts have no words and give no row. Rows without an id are
 not looked at. A repeated row counts as another occurrence in the same document,
@@ -321,15 +322,74 @@ def find_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.col("cluster.doc_id").alias("cluster_doc"), F.col("cluster.start").alias("cluster_start"),
         F.col("cluster").eqNullSafe(F.struct("doc_id", "start")).alias("kept"),
     )
-    return out.unionByName(_repeated_windows(rows.where("bands is null")))
+    return out.unionByName(_repeated_windows(rows.where("bands is null"), source.select(F.col("doc_id").cast("long"), "text")))
 
 
 def _rows_of(names: DataFrame) -> int:
     return names.agg(F.sum("n")).first()[0] or 0
 
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """Windows that two documents share, overlapping ones of a document joined to passages."""
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (doc_id, text, places): the word hashes before (nearest first) and after each place."""
+    near = SLIDE - 1
+    for batch in batches:
+        doc, at, before, after = [], [], [], []
+        for doc_id, text, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            w = text.lower().split()
+            for k in places:
+                doc.append(doc_id)
+                at.append(k)
+                for out, words in ((before, w[max(k - near, 0) : k][::-1]), (after, w[k : k + near])):
+                    out.append(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x in words], np.uint64).view(np.int64))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, kind), pa.array(after, kind)],
+            names=["doc_id", "at", "before", "after"],
+        )
+
+
+def _extended(passages: DataFrame, source: DataFrame) -> DataFrame:
+    """``passages`` (materialized) with ``left`` and ``right``: words by which the match goes on beyond its windows.
+
+    A run of ``WINDOW + SLIDE - 1`` shared words has a recorded window, so that no
+    more than ``SLIDE - 1`` words are left at either side. What is kept goes as far
+    as its farthest copy.
+    """
+    keys = ["doc_id", "cluster_doc", "passage"]
+    place = lambda doc, at: F.struct(F.col(doc).alias("doc_id"), F.col(at).cast("int").alias("at"))
+    copies = passages.where("doc_id != cluster_doc")
+    sides = [("left", "start", "first"), ("right", "end", "last")]
+    ends = [copies.select(*keys, F.lit(s).alias("side"), place("doc_id", x).alias("a"), place("cluster_doc", y).alias("b")) for s, x, y in sides]
+    ends = materialize(ends[0].unionByName(ends[1]), "ends")
+    asked = ends.select("a.*").union(ends.select("b.*")).groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    found = source.join(asked, "doc_id").mapInArrow(_edges, "doc_id long, at int, before array<long>, after array<long>")
+    # rows of one id with different texts have no words of their own at a place
+    words = F.struct("before", "after")
+    found = found.groupBy("doc_id", "at").agg(F.min(words).alias("w"), F.max(words).alias("x")).where("w = x")
+    found = materialize(found.select(F.struct("doc_id", "at").alias("b"), "w"), "edges")
+    counts = ends.groupBy("b").agg(F.count("*").alias("n"))
+    both = join_hot(ends, found.join(counts, "b"), "b", ends.count()).withColumnRenamed("w", "wb")
+    both = both.join(found.select(F.col("b").alias("a"), F.col("w").alias("wa")), "a")
+
+    def common(side: str):
+        same = F.zip_with(f"wa.{side}", f"wb.{side}", lambda x, y: x.eqNullSafe(y))
+        differs = F.array_position(same, False)
+        return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
+
+    far = both.select(*keys, "b", "side", F.when(F.col("side") == "left", common("before")).otherwise(common("after")).alias("far"))
+    far = materialize(far, "far")
+    own = far.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == s, F.col("far"))).alias(s) for s, _, _ in sides])
+    out = copies.join(own, keys, "left")
+    firsts = passages.where("doc_id = cluster_doc")
+    for s, x, _ in sides:
+        most = far.where(F.col("side") == s).groupBy(F.col("b.doc_id").alias("doc_id"), F.col("b.at").alias(x)).agg(F.max("far").alias(s))
+        firsts = firsts.join(most, ["doc_id", x], "left")
+    out = out.unionByName(firsts)
+    return out.withColumn("left", F.coalesce("left", F.lit(0))).withColumn("right", F.coalesce("right", F.lit(0)))
+
+
+def _repeated_windows(windows: DataFrame, source: DataFrame) -> DataFrame:
+    """Windows that two documents share, overlapping ones of a document joined to passages and extended."""
     windows = windows.select("doc_id", "start", "end", "h")
     seen = windows.groupBy("h").agg(
         F.min(F.struct("doc_id", "start")).alias("cluster"), F.max("doc_id").alias("last"), F.count("*").alias("n")
@@ -345,11 +405,14 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
     marked = again.withColumn("new", F.coalesce(F.col("start") > far, F.lit(True)).cast("int"))
     marked = marked.withColumn("passage", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     joined = marked.groupBy(*keys, "passage").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first")).alias("f")
-    )
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first"))["first"].alias("first"),
+        (F.max(F.struct("end", "first"))["first"] + WINDOW).alias("last"),
+    )
+    joined = _extended(materialize(joined, "passages"), source)
     return joined.select(
-        "doc_id", F.lit("passage").alias("unit"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
-        "cluster_doc", F.col("f.first").alias("cluster_start"), (F.col("doc_id") == F.col("cluster_doc")).alias("kept"),
+        "doc_id", F.lit("passage").alias("unit"), (F.col("start") - F.col("left")).alias("start_word"),
+        (F.col("end") + F.col("right")).alias("end_word"), "cluster_doc", (F.col("first") - F.col("left")).alias("cluster_start"),
+        (F.col("doc_id") == F.col("cluster_doc")).alias("kept"),
     )
 
 

@@ -258,6 +258,20 @@ def test_shared_passages_inside_lines_are_found_and_removed(spark):
     assert left[0] == rows[0][1] and len(left[3].split()) < len(rows[3][1].split()) - 25 and left[55] == rows[11][1]
 
 
+def test_passages_are_reported_to_their_ends(spark):
+    rng = random.Random(19)
+    rows = []
+    for g in range(8):
+        shared = prose(rng, 51 + 4 * g, 10**6)
+        rows += [(2 * g + k, f"{prose(rng, 60 + 7 * k, 10**6)} {shared} {prose(rng, 90, 10**6)}") for k in range(2)]
+    docs = documents(spark, rows)
+    found = passages.find_repeats(docs)
+    got = {(r.doc_id, r.start_word, r.end_word, r.cluster_doc, r.cluster_start, r.kept) for r in found.collect()}
+    assert got == {(2 * g + k, 60 + 7 * k, 111 + 4 * g + 7 * k, 2 * g, 60, k == 0) for g in range(8) for k in range(2)}
+    left = {r.doc_id: len(r.text.split()) for r in passages.remove_repeats(docs, found).collect()}
+    assert all(left[2 * g + 1] == 157 for g in range(8))
+
+
 def test_winnowing_keeps_its_promise():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
