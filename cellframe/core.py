@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def no_column(name: str, table: str, df: DataFrame) -> ValueError:
+    return ValueError(f"{table} have no {name!r}, only {', '.join(df.columns)}")
+
+
 @dataclass(frozen=True)
 class AnnotatedMatrix:
     """``cells`` (cell_id, ...), ``genes`` (gene_id, ...) and ``counts`` (cell_id, gene_id, value)."""
@@ -26,13 +30,14 @@ class AnnotatedMatrix:
     def require(self, *columns: str) -> None:
         missing = [c for c in columns if c not in self.cells.columns]
         if missing:
-            raise ValueError(f"Column {missing[0]!r} not found in cells. Available: {self.cells.columns}")
+            raise no_column(missing[0], "cells", self.cells)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    A session without that setting (local tests) gets a temporary one.
+    A local session (tests) without that setting gets a temporary one; on a cluster
+    no folder of one machine would do, so that its absence is an error there.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
@@ -40,16 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     made = sc._jsc.sc().getCheckpointDir()
     if not made.isDefined():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellframe-"))
         made = sc._jsc.sc().getCheckpointDir()
     return made.get()
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, where it is used repeatedly."""
+def settled(df: DataFrame, name: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, where it is used repeatedly; and its path, if asked."""
     path = f"{shared_dir(df.sparkSession)}/cellframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (found, path) if with_path else found
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what ``settled`` wrote, once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ratio(a: Column, b: Column) -> Column:

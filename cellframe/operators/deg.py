@@ -45,7 +45,8 @@ def two_group_stats(m: AnnotatedMatrix, label: str, first: list[str], second: li
         ).withColumn(f"pct_{k}", ratio(F.coalesce(f"e{k}", F.lit(0)), size))
     a, b = ratio(F.col("var_1"), F.col("n1")), ratio(F.col("var_2"), F.col("n2"))
     gap = F.col("mean_1") - F.col("mean_2")
-    freedom = ratio((a + b) ** 2, F.coalesce(ratio(a * a, F.col("n1") - 1), zero) + F.coalesce(ratio(b * b, F.col("n2") - 1), zero))
+    # null where a group has one cell: there the test isn't defined
+    freedom = ratio((a + b) ** 2, ratio(a * a, F.col("n1") - 1) + ratio(b * b, F.col("n2") - 1))
     return full.select(
         "gene_id", "mean_1", "mean_2", "var_1", "var_2", "pct_1", "pct_2",
         (gap / math.log(2)).alias("log2fc"), ratio(gap, F.sqrt(a + b)).alias("t_stat"), freedom.alias("df"),
@@ -105,10 +106,10 @@ def nested_deg_stats(
     logfc = F.log2((F.expm1(mean_t) + PSEUDO) / (F.expm1(mean_r) + PSEUDO))
     n = F.col("n_t") + F.col("n_r")
     if method == "t-test":
-        v_t = F.greatest(F.col("q_t") - mean_t**2 * F.col("n_t"), F.lit(0.0)) / (F.col("n_t") - 1) / F.col("n_t")
-        v_r = F.greatest(F.col("q_r") - mean_r**2 * F.col("n_r"), F.lit(0.0)) / (F.col("n_r") - 1) / F.col("n_r")
+        v_t = ratio(F.greatest(F.col("q_t") - mean_t**2 * F.col("n_t"), F.lit(0.0)), F.col("n_t") - 1) / F.col("n_t")
+        v_r = ratio(F.greatest(F.col("q_r") - mean_r**2 * F.col("n_r"), F.lit(0.0)), F.col("n_r") - 1) / F.col("n_r")
         statistic = ratio(mean_t - mean_r, F.sqrt(v_t + v_r))
-        freedom = ratio((v_t + v_r) ** 2, v_t**2 / (F.col("n_t") - 1) + v_r**2 / (F.col("n_r") - 1))
+        freedom = ratio((v_t + v_r) ** 2, ratio(v_t**2, F.col("n_t") - 1) + ratio(v_r**2, F.col("n_r") - 1))
     else:
         by_value = values.groupBy(*keys, x.alias("x")).agg(F.count("*").alias("c"), F.count(F.when(t, 1)).alias("c_t"))
         below = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)

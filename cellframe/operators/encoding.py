@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import no_column
+
 TRANSFORMS = ("log1p", "zscore")
 
 
@@ -134,7 +136,7 @@ def build_schema(
     """
     for c in [*[s.source for s in numerical], *[s.source for s in categorical], *[s.value_col for s in categorical if s.value_col]]:
         if c not in cells.columns:
-            raise ValueError(f"Column {c!r} not found in cells. Available: {cells.columns}")
+            raise no_column(c, "cells", cells)
     means = [s for s in categorical if s.encoding == "groupmean"]
     stats = _fit(cells, [(s.source, s.transforms) for s in numerical] + [(s.value_col, s.value_transforms) for s in means])
     columns, offset = [], 0
@@ -186,13 +188,23 @@ def condition_vector(schema: ConditionSchema) -> Column:
         if c.kind == "numerical":
             parts.append(F.array(_transformed(source.cast("double"), c.transforms, c.stats).cast("float")))
         elif c.encoding == "onehot":
-            parts.append(F.array(*[F.coalesce(source.cast("string") == k, F.lit(False)).cast("float") for k in c.categories]))
+            # a constant array that is looked up, so that thousands of categories are no larger a plan
+            place = F.coalesce(F.array_position(F.lit(list(c.categories)), source.cast("string")), F.lit(0)) if c.categories else F.lit(0)
+            parts.append(_one_of(place, len(c.categories)))
         else:
-            table = F.create_map(*[F.lit(x) for kv in c.mean_table.items() for x in kv])
-            parts.append(F.array(F.try_element_at(table, source.cast("string")).cast("float")))
+            table = F.map_from_arrays(F.lit(list(c.mean_table)), F.lit([float(v) for v in c.mean_table.values()])) if c.mean_table else None
+            mean = F.lit(None) if table is None else F.try_element_at(table, source.cast("string"))
+            parts.append(F.array(mean.cast("float")))
     return F.concat(*parts)
 
 
+def _one_of(place: Column, n: int) -> Column:
+    """``n`` zeros, with a one at ``place`` (from 1; 0: nowhere)."""
+    if not n:
+        return F.array().cast("array<float>")
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i == place).cast("float"))
+
+
 def label_index(cells: DataFrame, label: str) -> DataFrame:
     """(label, idx): the values of a column in their order, as text."""
     values = cells.select(F.col(f"`{label}`").alias("v")).where("v is not null").distinct()

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ratio, settled
+from ..core import ratio
+from ..links import components
 
 #: Bytes of the base vectors that are broadcast at once; more are taken in blocks.
 BLOCK_BYTES = 128 << 20
@@ -107,27 +108,11 @@ def resolve_edges(
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cell_id, component): the least id that undirected edges reach, for every node.
-
-    Labels spread to neighbours and jump to their label's label, so that rounds grow
-    with the logarithm of the longest path; each round ends in the shared folder.
-    """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = settled(both.where("src != dst").distinct(), "edges")
-    labels = settled(nodes.select("cell_id", F.col("cell_id").alias("component")), "labels")
-    for _ in range(100):
-        near = both.join(labels, both.dst == labels.cell_id).groupBy("src").agg(F.min("component").alias("near"))
-        own = labels.join(near, labels.cell_id == near.src, "left").select(
-            "cell_id", F.col("component").alias("old"), F.least("component", "near").alias("component")
-        )
-        own = settled(own, "spread")
-        up = own.select(F.col("cell_id").alias("parent"), F.col("component").alias("above"))
-        moved = own.join(up, own.component == up.parent).select("cell_id", "old", F.least("component", "above").alias("component"))
-        moved = settled(moved, "labels")
-        labels = moved.select("cell_id", "component")
-        if moved.where("old != component").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    """(cell_id, component): the least id that undirected edges reach, for every node."""
+    found = components(edges)
+    return nodes.select("cell_id").join(found, F.col("cell_id") == found.node, "left").select(
+        "cell_id", F.coalesce("root", "cell_id").alias("component")
+    )
 
 
 def graph_connectivity(neighbours: DataFrame, cells: DataFrame, label: str) -> DataFrame:

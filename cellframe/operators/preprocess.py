@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import AnnotatedMatrix, largest_remainder, ranked_by_hash, ratio
+from ..core import AnnotatedMatrix, largest_remainder, no_column, ranked_by_hash, ratio
 from .pearson import library_depth
 
 # Nomenclature patterns of uninformative genes, by species.
@@ -81,7 +81,7 @@ def filter_genes(genes: DataFrame, species: str = "human", mask_hvg_only: bool =
     if not mask_hvg_only:
         return genes.where(~hit)
     if "highly_variable" not in genes.columns:
-        raise ValueError("The 'highly_variable' column is missing; compute it, or drop genes instead")
+        raise ValueError("genes have no 'highly_variable' to mask; mark variable genes first, or use mask_hvg_only=False")
     return genes.withColumn("highly_variable", F.col("highly_variable") & ~hit)
 
 
@@ -113,7 +113,7 @@ def resolve_genes(genes: DataFrame, gene_list: list[str] | None = None, gene_col
         chosen = genes.join(F.broadcast(names), "gene_name", "left_semi")
     elif gene_col is not None:
         if gene_col not in genes.columns:
-            raise ValueError(f"Column {gene_col!r} not found in genes. Available: {genes.columns}")
+            raise no_column(gene_col, "genes", genes)
         chosen = genes.where(F.col(gene_col).cast("boolean"))
     return chosen.withColumn("column", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gene_pos")) - 1).cast("long"))
 

@@ -190,3 +190,16 @@ def test_ward_and_optimal_leaves():
     length = lambda o: sum(abs(x[a, 0] - x[b, 0]) for a, b in zip(o, o[1:], strict=False))
     assert length(best) <= length(order)
     assert len(set(views.kmeans_labels(x, 2))) == 2
+
+
+def test_a_group_of_one_cell_has_no_test(spark):
+    from cellframe.core import AnnotatedMatrix
+    from cellframe.operators import deg
+
+    cells = spark.createDataFrame([(1, "one"), (2, "more"), (3, "more"), (4, "more")], "cell_id long, kind string")
+    genes = spark.createDataFrame([("a",), ("b",)], "gene_id string")
+    counts = spark.createDataFrame([(1, "a", 9.0), (2, "a", 1.0), (3, "a", 2.0), (4, "a", 1.0), (2, "b", 1.0)], "cell_id long, gene_id string, value double")
+    m = AnnotatedMatrix(cells, genes, counts)
+    for first, second in ((["one"], ["more"]), (["more"], ["one"]), (["one"], ["one"]), (["none"], ["more"])):
+        got = deg.two_group_deg(m, "kind", first, second).collect()
+        assert len(got) == 2 and all(r.pval == 1.0 and r.padj == 1.0 for r in got)
