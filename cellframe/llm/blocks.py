@@ -20,21 +20,24 @@ from .common import BROADCAST_IDS
 LEAST_SHARD = 128
 
 
-def deal(rows: DataFrame, id_col: str, least: int = LEAST_SHARD, most: int | None = None) -> DataFrame:
+def deal(
+    rows: DataFrame, id_col: str, least: int = LEAST_SHARD, most: int | None = None, times: float = 4, carry: DataFrame | None = None
+) -> DataFrame:
     """``rows`` (with a ``bucket`` column), as groups of rows to compare.
 
     Adds ``i``, ``j`` (a group is bucket, i, j) and ``shard`` (equal to i or j),
     drops buckets of one row, and leaves each group whole and sorted in one
-    partition. A bucket is hot beyond four times the rows of an even partition, so
-    that there are at most a quarter as many hot ones as partitions; ``most``
-    lowers that, for comparisons that cost more. The list of hot buckets is
-    broadcast if it is short.
+    partition. A bucket is hot beyond ``times`` the rows of an even partition, so
+    that there are few hot ones; ``most`` lowers that, for comparisons that cost
+    more. The list of hot buckets is broadcast if it is short. ``carry`` has a row
+    for each ``id_col``, with columns that are joined once it is known which rows
+    have others to meet: what is large doesn't move with the rest.
     """
     spark = rows.sparkSession
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     total = counts.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 200_000))
-    shard = max(least, math.ceil(4 * total / parts))
+    shard = max(least, math.ceil(times * total / parts))
     if most is not None:
         shard = min(shard, most)
     hot = counts.where(F.col("n") > shard).select(
@@ -53,30 +56,16 @@ def deal(rows: DataFrame, id_col: str, least: int = LEAST_SHARD, most: int | Non
     )
     live = live.withColumn("other", F.explode(other))
     live = live.withColumn("i", F.least("shard", "other")).withColumn("j", F.greatest("shard", "other"))
+    live = live.drop("r", "other")
+    if carry is not None:
+        live = live.join(carry, id_col)
     return (
-        live.drop("r", "other")
+        live
         .repartition(parts, "bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
     )
 
 
-def join_hot(rows: DataFrame, one: DataFrame, key: str, total: int, least: int = LEAST_SHARD) -> DataFrame:
-    """``rows`` joined with ``one``, which has one row a key and ``n``, the key's rows in ``rows``.
-
-    No key's rows have to meet in one task: those of a hot key (more than four times
-    an even partition of the ``total`` rows) find its row of ``one`` by a broadcast of
-    the hot keys alone, at most a quarter as many as there are partitions. ``n`` is
-    dropped. Rows whose key is null or not in ``one`` are, too.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bound = max(least, math.ceil(4 * total / parts))
-    if total <= bound:  # no key can have more
-        return rows.join(one.drop("n"), key)
-    hot = one.where(F.col("n") > bound).drop("n")
-    even = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") <= bound).drop("n"), key)
-    return rows.join(F.broadcast(hot), key).unionByName(even)
-
-
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """Where the groups of equal keys begin in sorted columns."""
     n = len(keys[0])
@@ -87,21 +76,3 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
-
-
-def roots_of_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For 0..n-1 the least member of its component under the pairs (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        if not apart.any():
-            break
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root

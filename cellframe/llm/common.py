@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..core import settled
+
 #: Rows of one Arrow batch that goes to a Python worker. Texts may be long, so
-#: far fewer than Spark's default of 10,000.
+#: far fewer than Spark's default of 10,000; Spark bounds a batch's bytes besides.
 ARROW_ROWS = 256
 
 #: A set of ids may be broadcast up to this many rows (8 bytes each, some 30 MB
@@ -20,29 +21,15 @@ ARROW_ROWS = 256
 BROADCAST_IDS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (a local test session) is a temporary
-    folder of this machine taken, and set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base
-    made = sc._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellframe-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the folder that driver and executors share and read it back: lineage ends here."""
+    return settled(df, name)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs have left: shuffle files and broadcasts stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, group_starts, roots_of_pairs
+from ..links import components, roots_of_pairs
+from .blocks import deal, group_starts
 from .common import materialize, small_batches
-from .components import components
 
 PROBES = 3
-MOST_TABLES = 40
+#: Tables beyond which near-duplicates are refused, for a vector is in ``PROBES`` buckets of each.
+MOST_TABLES = 100
+#: A shard has at most so many times the rows of an even partition, a group two shards.
+SHARD_TIMES = 1
 
 
 def rotation_signs(d: int, n: int, seed: int) -> np.ndarray:
@@ -103,8 +106,10 @@ def table_plan(d: int, n: int, threshold: float, recall: float, seed: int) -> tu
     signs = rotation_signs(padded, k * 4, seed)
     ka, kb = bucket_keys(a, signs, k), bucket_keys(b, signs, k)
     p = float((ka[:, :, :, None] == kb[:, :, None, :]).any(axis=(2, 3)).mean())
-    p = min(max(p, 0.02), 0.999)
-    tables = min(MOST_TABLES, max(2, math.ceil(math.log(1 - recall) / math.log(1 - p))))
+    p = min(p, 0.999)
+    tables = max(2, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p > 0 else MOST_TABLES + 1
+    if tables > MOST_TABLES:
+        raise ValueError(f"recall {recall} at cosine {threshold} takes over {MOST_TABLES} tables: a table finds {p:.4f}")
     return k, rotation_signs(padded, k * tables, seed)
 
 
@@ -239,8 +244,9 @@ def near_duplicates(
         same = classes.where(F.size("embedding") == d)
         hashed = same.select("node", "embedding").mapInArrow(_hasher(d, k, signs), "node long, bucket long")
         hashed = materialize(hashed.distinct(), "buckets")
-        dealt_in = hashed.join(same, "node")
-        met = _deal_vectors(hashed, dealt_in).mapInArrow(
+        # singles are dropped and groups cut before a vector moves
+        dealt = deal(hashed, "node", times=SHARD_TIMES, carry=same)
+        met = dealt.select("bucket", "i", "j", "shard", "node", "copies", "embedding").mapInArrow(
             _compare(d, k, signs, threshold), "node long, n long, root long"
         )
         counts = met if counts is None else counts.unionByName(met)
@@ -270,11 +276,6 @@ def near_duplicates(
     )
 
 
-def _deal_vectors(hashed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Buckets of one vector are dropped before vectors are carried to them."""
-    return deal(rows, "node").select("bucket", "i", "j", "shard", "node", "copies", "embedding")
-
-
 def oracle_sql(threshold: float = 0.95) -> str:
     """The same by comparing all pairs and following links (DuckDB)."""
     return f"""

@@ -1,10 +1,11 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, and repeated passages inside them.
 
-Method. A paragraph is a line of at least ``LEAST_WORDS`` words (lower-cased runs of
-non-blanks). Its word 5-grams are hashed, ``BANDS`` x ``ROWS`` MinHash values are
-taken of them, and paragraphs that agree on a whole band are candidates. With 9
-bands of 4 values a pair of Jaccard similarity 0.8 is found with probability 0.991,
-one of 0.9 with 0.9999. Each candidate pair is verified by the exact Jaccard
+Method. A paragraph is a line (words are lower-cased runs of non-blanks). The word
+5-grams of one of at least ``LEAST_WORDS`` words are hashed, ``BANDS`` x ``ROWS``
+MinHash values are taken of them, and paragraphs that agree on a whole band are
+candidates. With 9 bands of 4 values a pair of Jaccard similarity 0.8 is found with
+probability 0.991, one of 0.9 with 0.9999. A shorter paragraph, down to
+``least_words``, is looked for as a whole: all its exact copies are found. Each candidate pair is verified by the exact Jaccard
 similarity of the 5-gram sets, and verified links are clustered by components; a
 cluster keeps its first occurrence (smallest doc_id, then place).
 
@@ -29,6 +30,7 @@ empty result. Texts are read whole. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -37,12 +39,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import deal, group_starts, join_hot
-from .common import materialize, small_batches
-from .components import components
+from ..links import components, join_hot
+from .blocks import deal, group_starts
+from .common import map_rows, materialize, small_batches
 
+#: Words of a paragraph that takes part in the banding.
 LEAST_WORDS = 50
+#: Words of a paragraph whose exact copies are repeats; below, the same words are
+#: rather a heading, a list item or a greeting than a passage.
+LEAST_EXACT = 20
 SHINGLE = 5
 BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
@@ -120,8 +127,8 @@ def minhash(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: rows of paragraphs (with bands and shingles) and of recorded windows."""
+def _scan(least_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: rows of paragraphs (with bands and shingles; short ones without) and of recorded windows."""
     memo: dict[str, int] = {}
 
     def word_hashes(words: list[str]) -> np.ndarray:
@@ -138,34 +145,41 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window_doc, window_at, window_hash = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lines = [x.split() for x in (text or "").lower().split("\n")]
-            w = word_hashes(list(itertools.chain.from_iterable(lines)))
-            if len(w) < WINDOW:
+            n = sum(map(len, lines))
+            if n < min(WINDOW, least_words):
                 continue
-            grams = run_hashes(w, SHINGLE)
-            windows = run_hashes(w, WINDOW)
-            at = winnow(windows)
-            window_doc.append(np.full(len(at), doc_id))
-            window_at.append(at)
-            window_hash.append(windows[at])
+            w = word_hashes(list(itertools.chain.from_iterable(lines)))
+            if n >= WINDOW:
+                grams = run_hashes(w, SHINGLE)
+                windows = run_hashes(w, WINDOW)
+                at = winnow(windows)
+                window_doc.append(np.full(len(at), doc_id))
+                window_at.append(at)
+                window_hash.append(windows[at])
             low = 0
             for line in lines:
                 high = low + len(line)
-                if len(line) >= LEAST_WORDS:
+                if len(line) >= least_words:
                     doc.append(doc_id)
                     start.append(low)
                     end.append(high)
                     hashes.append(xxhash.xxh64_intdigest(w[low:high].tobytes()))
-                    s = np.unique((grams[low : high - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32))
+                    if len(line) >= LEAST_WORDS:
+                        s = np.unique((grams[low : high - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32))
+                    else:
+                        s = np.zeros(0, np.uint32)
                     shingles.append(s)
                     sizes.append(len(s))
                 low = high
         if doc:
             flat = np.concatenate(shingles)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            keys = minhash(flat, offsets[:-1])
+            banded = np.array(sizes) > 0
+            keys = minhash(flat, offsets[:-1][banded]) if banded.any() else np.zeros((0, BANDS), np.int64)
+            edges = np.concatenate([[0], np.cumsum(BANDS * banded)])
             yield _rows(
                 doc, start, end, np.array(hashes, np.uint64).view(np.int64),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.ravel())),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32))),
             )
         if window_doc:
@@ -270,13 +284,23 @@ def _settle(similarity: float):
     return run
 
 
-def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of paragraph hashes that verified links connect."""
-    keys = paragraphs.select("h", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least != most")
-    live = materialize(keys.join(full.select("key", "least"), "key").distinct(), "bands")
-    first = live.where("h != least").select(F.col("h").alias("a"), F.col("least").alias("b")).distinct()
-    wanted = materialize(live.select("h").distinct(), "candidates")
+def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY, candidates: DataFrame | None = None) -> DataFrame:
+    """(node, root) of paragraph hashes that verified links connect.
+
+    ``paragraphs`` has ``h``, ``bands`` and ``shingles`` (rows of one ``h`` are alike);
+    ``candidates`` (a, b), written already, are pairs to verify beside those of the bands.
+    """
+    # copies of a paragraph are one row, so that only unlike ones can make a band hot
+    keys = materialize(paragraphs.select("h", F.explode("bands").alias("key")).distinct(), "bands")
+    full = keys.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1")
+    full = materialize(full, "full")
+    total = _rows_of(full)
+    live = join_hot(keys, full, "key", total).where("h != least")
+    live = materialize(live.select("key", "h", "least"), "bands")
+    first = live.select(F.col("h").alias("a"), F.col("least").alias("b"))
+    first = (first if candidates is None else first.unionByName(candidates.select("a", "b"))).distinct()
+    first = materialize(first, "pairs")
+    wanted = materialize(first.select(F.col("a").alias("h")).union(first.select("b")).distinct(), "candidates")
     if wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
         wanted = F.broadcast(wanted)
     sets = materialize(
@@ -284,19 +308,23 @@ def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> Da
     )
     links = materialize(jaccard(first, sets, similarity), "links")
     found = components(links)
-    named = live.join(found, live.h == found.node, "left").select("key", "h", "least", F.coalesce("root", "h").alias("c"))
-    apart = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
-    open_ = materialize(named.where("h != least").join(apart, "key", "left_semi"), "open")
-    rows = open_.join(sets, "h").select(F.col("key").alias("bucket"), "h", "c", "shingles")
-    dealt = deal(rows, "h", most=SHARD).select("bucket", "i", "j", "h", "c", "shingles")
+    # bands whose members, each compared with the least one by now, are still in different components
+    named = live.join(found, live.h == found.node, "left").select("key", "h", F.coalesce("root", "h").alias("c"))
+    apart = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
+    apart = materialize(apart.where("low != high").select("key", "n"), "apart")
+    if apart.isEmpty():
+        return found
+    open_ = join_hot(named, apart, "key", _rows_of(apart))
+    rows = materialize(open_.select(F.col("key").alias("bucket"), "h", "c"), "open")
+    dealt = deal(rows, "h", most=SHARD, carry=sets).select("bucket", "i", "j", "h", "c", "shingles")
     more = materialize(dealt.mapInArrow(_settle(similarity), "src long, dst long"), "links")
     if more.isEmpty():
         return found
     return components(links.unionByName(more))
 
 
-def find_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each occurrence of a repeated paragraph or passage.
+def find_repeats(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_EXACT) -> DataFrame:
+    """A row for each occurrence of a repeated paragraph (of ``least_words`` or more) or passage.
 
     (doc_id, unit, start_word, end_word, cluster_doc, cluster_start, kept): the
     words are numbered from 0 in the whole text, the end is exclusive; the cluster
@@ -305,7 +333,7 @@ def find_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     source = docs.where("doc_id is not null and text is not null")
-    rows = materialize(source.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCHEMA), "units")
+    rows = materialize(source.select(F.col("doc_id").cast("long"), "text").mapInArrow(functools.partial(_scan, least_words), _SCHEMA), "units")
     paragraphs = rows.where("bands is not null")
     found = link_paragraphs(paragraphs, similarity)
     place = F.struct("doc_id", "start")
@@ -416,30 +444,57 @@ def _repeated_windows(windows: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
+def _without(text: str | None, spans: list[tuple[int, int]] | None) -> str | None:
+    """``text`` without the words of ``spans``; lines that stay whole keep their form."""
+    if text is None or not spans:
+        return text
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, low, at = [], 0, 0
+    for line in text.split("\n"):
+        words = line.split()
+        high = low + len(words)
+        while at < len(merged) and merged[at][1] <= low:
+            at += 1
+        keep, k, place = [], at, low
+        while k < len(merged) and merged[k][0] < high:
+            keep += words[place - low : max(merged[k][0], low) - low]
+            place = min(merged[k][1], high)
+            k += 1
+        if place == low:
+            out.append(line)
+        else:
+            keep += words[place - low :]
+            if keep:
+                out.append(" ".join(keep))
+        low = high
+    return "\n".join(out)
+
+
 def remove_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """``docs`` without the words of occurrences that are not kept.
 
     Paragraphs that stay whole keep their form; in others the remaining words are
-    joined by single blanks.
+    joined by single blanks. Null texts, rows without an id and texts without such an
+    occurrence stay as they are; rows that share an id are cut alike. Words are those
+    of the text as it was scanned. Other columns stay, whatever their names.
     """
-    gone = repeats.where(~F.col("kept")).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start_word", "end_word")).alias("_gone")
+    gone = repeats.where(~F.col("kept")).groupBy(F.col("doc_id").cast("long").alias("id")).agg(
+        F.collect_set(F.struct("start_word", "end_word")).alias("spans")
     )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    both = docs.select(row).join(gone, F.col("row.doc_id") == F.col("id"), "left").select("row", F.col("row.text").alias("text"), "spans")
+
+    def make():
+        def batch(cols):
+            spans = [[(s["start_word"], s["end_word"]) for s in x or ()] for x in cols[1]]
+            return [pa.array([_without(t, s) for t, s in zip(cols[0], spans, strict=True)], pa.string())]
+
+        return batch
 
-    @F.udf("string")
-    def cut(text, spans):
-        if text is None or not spans:
-            return text
-        out, low = [], 0
-        for line in text.split("\n"):
-            words = line.split()
-            keep = [not any(a <= low + k < b for a, b in spans) for k in range(len(words))]
-            if all(keep):
-                out.append(line)
-            elif any(keep):
-                out.append(" ".join(w for w, ok in zip(words, keep, strict=True) if ok))
-            low += len(words)
-        return "\n".join(out)
-
-    names = [f"`{c}`" for c in docs.columns]
-    return docs.join(gone, "doc_id", "left").withColumn("text", cut("text", "_gone")).select(*names)
+    cut = map_rows(both, ["text", "spans"], T.StructType([T.StructField("cut", T.StringType())]), make, keep=["row"])
+    return cut.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

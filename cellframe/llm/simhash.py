@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import deal, group_starts, join_hot, roots_of_pairs
-from .common import map_rows, materialize, without_ids
-from .components import components
-from .passages import BANDS, SIMILARITY, jaccard, link_paragraphs, minhash
+from ..links import components, join_hot, roots_of_pairs
+from .blocks import deal, group_starts
+from .common import map_rows, materialize, release, without_ids
+from .passages import BANDS, SIMILARITY, link_paragraphs, minhash
 
 SEED = 42
 BITS = 64
@@ -201,7 +201,7 @@ def near_duplicates(
     """
     grouped = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     classes = materialize(grouped, "classes")
-    roots = materialize(components(link_fingerprints(classes.select("fingerprint"), max_bits)), "roots")
+    roots = components(link_fingerprints(classes.select("fingerprint"), max_bits))
     return _named(prints, classes, roots, "fingerprint")
 
 
@@ -255,49 +255,52 @@ _UNIT = T.StructType([
 
 
 def near_copies(units: DataFrame, similarity: float = SIMILARITY, max_bits: int = 3) -> DataFrame:
-    """``units`` (doc_id and the columns of ``_UNIT``, materialized) with ``component_id``.
+    """``units`` (doc_id and the columns of ``_UNIT``, materialized) as (doc_id, h, component_id).
 
     Two texts link if the exact Jaccard similarity of their shingle sets is
     ``similarity`` or more. At 0.8 some 10 of 64 bits differ, a budget at which the
-    trie join would compare nearly all pairs; so candidates come from MinHash bands
-    (found with probability 0.991 at 0.8) beside the fingerprints within ``max_bits``.
+    trie join would compare nearly all pairs; so the candidates that the trie join
+    finds within ``max_bits`` are joined by those of MinHash bands (which find a pair
+    of similarity 0.8 with probability 0.991).
     """
-    found = materialize(link_paragraphs(units, similarity), "roots")
     prints = units.groupBy("fingerprint").agg(F.min("h").alias("least"), F.max("h").alias("most"))
     prints = materialize(prints, "classes")
     links = link_fingerprints(prints.select("fingerprint"), max_bits)
     least = prints.select("fingerprint", "least")
     near = links.join(least.toDF("src", "a"), "src").join(least.toDF("dst", "b"), "dst").select("a", "b")
+    # texts of one fingerprint that differ
     same = units.join(prints.where("least != most"), "fingerprint").where("h != least")
     pairs = near.unionByName(same.select(F.col("h").alias("a"), F.col("least").alias("b"))).where("a != b").distinct()
-    pairs = materialize(pairs, "pairs")
-    root = found.toDF("b", "rb")
-    ends = pairs.groupBy("b").agg(F.count("*").alias("n")).join(root, "b", "left")
-    both = join_hot(pairs, ends, "b", pairs.count()).join(found.toDF("a", "ra"), "a", "left")
-    apart = materialize(both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
-    if not apart.isEmpty():
-        wanted = apart.select(F.col("a").alias("h")).union(apart.select("b")).distinct()
-        sets = units.select("h", "shingles").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-        more = materialize(jaccard(apart, materialize(sets, "sets"), similarity), "links")
-        if not more.isEmpty():
-            more = more.unionByName(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-            found = materialize(components(more), "roots")
+    found = link_paragraphs(units, similarity, materialize(pairs, "pairs"))
+    release(units.sparkSession)
     classes = units.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     return _named(units.select("doc_id", "h"), materialize(classes, "classes"), found, "h")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies (``near_copies``), the one with the smallest id."""
-    prints = materialize(map_rows(docs, ["text"], _UNIT, _units(words), keep=["doc_id"]), "prints")
-    found = near_copies(prints, similarity)
-    drop = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "drop")
-    kept = without_ids(docs, drop)
-    twice = materialize(
-        prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"),
-        "twice",
-    )
+    """One document of each group of near copies (``near_copies``), the one with the smallest id.
+
+    Rows are judged each by its own text: one goes if its group has a smaller id. Of
+    rows of one group that share the smallest id one stays, the first by text, then by
+    a hash of all columns that can be hashed; rows of one id in different groups are
+    different documents. Rows without an id stay.
+    """
+    texts = docs.select("doc_id", "text")
+    units = materialize(map_rows(texts, ["text"], _UNIT, _units(words), keep=["doc_id"]), "prints")
+    found = materialize(near_copies(units, similarity).where("doc_id is not null"), "named")
+    release(docs.sparkSession)
+    many = F.count("*") > 1
+    flagged = found.groupBy("doc_id").agg(many.alias("many"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    flagged = materialize(flagged.where("many or gone"), "flagged")
+    kept = without_ids(docs, flagged.select("doc_id"))
+    twice = flagged.where("many").select("doc_id")
     if twice.isEmpty():
         return kept
-    once = without_ids(kept, twice)
-    again = kept.join(twice, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    rows = map_rows(rows.join(twice, "doc_id", "left_semi"), ["text"], _UNIT, _units(words), keep=["row", "doc_id"])
+    stay = found.join(twice, "doc_id", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("h").alias("g")).distinct()
+    rows = rows.join(stay, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("g")))
+    plain = [f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.col("row.text"), F.xxhash64(*plain))
+    again = rows.groupBy("doc_id").agg(F.min_by("row", order).alias("row"))
+    return kept.unionByName(again.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

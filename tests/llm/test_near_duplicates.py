@@ -1,6 +1,7 @@
 """Operators on pairs against brute force: fingerprints, vectors, passages, components."""
 
 import itertools
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cellframe.llm import blocks, embeddings, passages, simhash
-from cellframe.llm.components import components
+from cellframe.links import components
 
 from .conftest import documents
 
@@ -162,7 +163,7 @@ def test_vectors_equal_brute_force(spark):
 
 def test_hot_group_of_vectors_is_split_and_whole(spark, monkeypatch):
     monkeypatch.setattr(blocks, "LEAST_SHARD", 16)
-    monkeypatch.setattr(embeddings, "deal", lambda rows, id_col: blocks.deal(rows, id_col, least=16, most=16))
+    monkeypatch.setattr(embeddings, "deal", lambda rows, id_col, **how: blocks.deal(rows, id_col, **(how | {"least": 16, "most": 16})))
     rng = np.random.default_rng(6)
     x = rng.normal(size=12) + rng.normal(size=(90, 12)) * 0.01
     got = embeddings.near_duplicates(vectors(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])).collect()
@@ -298,22 +299,63 @@ def test_passages_of_odd_rows(spark, odd, nothing):
     assert {r.doc_id for r in got} == {7, 70} and all(r.kept == (r.doc_id == 7) for r in got)
 
 
-def test_hot_keys_join_like_any_other(spark):
-    from pyspark.sql import functions as F
-
-    from cellframe.llm.blocks import join_hot
-
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("k"))
-    rows = rows.unionByName(spark.createDataFrame([(9999, None)], "id long, k long"))
-    one = rows.where("k % 5 != 1 and k is not null").groupBy("k").agg(F.min("id").alias("m"), F.count("*").alias("n"))
-    want = sorted(map(tuple, rows.join(one.drop("n"), "k").collect()))
-    for total, least in ((3000, 128), (3000, 1), (10, 128), (0, 0)):
-        assert sorted(map(tuple, join_hot(rows, one, "k", total, least).select("k", "id", "m").collect())) == want
-
-
-def test_components_of_a_hub_and_a_chain(spark):
-    from cellframe.llm.components import components
-
-    links = [(1, k) for k in range(2, 2000)] + [(k, k + 1) for k in range(5000, 5300)] + [(5300, 1999)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
-    assert got == {k: 1 for k in [*range(1, 2000), *range(5000, 5301)]}
+def test_rows_of_one_id_are_judged_each_by_its_text(spark):
+    """A near copy goes, a clean text that shares its id stays; of equal rows one stays, whatever their order."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 80, 10_000) for _ in range(3))
+    rows = [(2, a), (6, a), (6, b), (9, c), (9, c.upper()), (None, a), (None, b), (8, None), (8, "")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, {"k": i or 0}) for i, t in order], "doc_id long, text string, h map<string,long>")
+        kept = simhash.deduplicate(docs)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert got == sorted([(2, a), (6, b), (9, c.upper()), (None, a), (None, b), (8, None)], key=str)
+
+
+@pytest.mark.parametrize("words", [5, 10, 19, 20, 25, 29, 30, 45, 49, 50, 60])
+def test_every_copy_of_a_paragraph_is_found(spark, words):
+    rng = random.Random(words)
+    shared = prose(rng, words, 10**6)
+    rows = [(i, f"{prose(rng, 5 + i % 60, 10**6)}\n{shared}\n{prose(rng, 8, 10**6)}") for i in range(40)]
+    rows += [(100 + i, shared) for i in range(3)]
+    docs = documents(spark, rows)
+    found = passages.find_repeats(docs, least_words=min(words, passages.LEAST_EXACT))
+    got = {(r.doc_id, r.start_word): (r.cluster_doc, r.cluster_start, r.kept) for r in found.where("unit = 'paragraph'").collect()}
+    assert got == {**{(i, 5 + i % 60): (0, 5, i == 0) for i in range(40)}, **{(100 + i, 0): (0, 5, False) for i in range(3)}}
+    if words < passages.LEAST_EXACT:
+        assert passages.find_repeats(docs).count() == 0
+
+
+def test_removal_leaves_what_is_no_repeat(spark, odd, nothing):
+    schema = "doc_id long, unit string, start_word int, end_word int, cluster_doc long, cluster_start int, kept boolean"
+    rng = random.Random(31)
+    texts = {i: "\n".join(" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(9))) + "  " * rng.randrange(2) for _ in range(rng.randrange(6))) for i in range(40)}
+    spans = {i: [(a, a + rng.randrange(1, 7)) for a in (rng.randrange(25) for _ in range(rng.randrange(5)))] for i in texts}
+    repeats = spark.createDataFrame([(i, "passage", a, b, 99, 0, False) for i, x in spans.items() for a, b in x] + [(3, "passage", 0, 50, 3, 0, True)], schema)
+    docs = documents(spark, list(texts.items())).withColumn("spans", F.lit("x")).withColumn("_gone", F.lit(1)).withColumn("cut", F.lit(None).cast("string"))
+    left = passages.remove_repeats(docs, repeats)
+    assert left.columns == docs.columns
+    for r in left.collect():
+        out, low = [], 0
+        for line in texts[r.doc_id].split("\n"):
+            words = line.split()
+            keep = [w for k, w in enumerate(words) if not any(a <= low + k < b for a, b in spans[r.doc_id])]
+            out += [line] if len(keep) == len(words) else [" ".join(keep)] if keep else []
+            low += len(words)
+        assert r.text == "\n".join(out)
+    again = passages.remove_repeats(odd, repeats.where("doc_id = 7"))
+    assert again.count() == odd.count() and passages.remove_repeats(nothing, repeats).count() == 0
+
+
+def test_bands_rarely_lose_a_pair_before_it_is_compared():
+    """What AGREE asks of the MinHash values is missed by a pair of similarity 0.8 once in 10,000 times or less."""
+    n = passages.BANDS * passages.ROWS
+    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(passages.AGREE))
+    assert missed < 1e-4
+    rng = np.random.default_rng(3)
+    lost = 0
+    for _ in range(2000):
+        common, own = rng.integers(0, 2**32, 80, dtype=np.uint32), rng.integers(0, 2**32, 20, dtype=np.uint32)
+        signs = passages.signatures(np.concatenate([common, own[:10], common, own[10:]]), np.array([0, 90]))
+        lost += int((signs[0] == signs[1]).sum() < passages.AGREE)
+    assert lost <= 2
