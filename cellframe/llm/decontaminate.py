@@ -14,8 +14,11 @@ the corpus is never shuffled: a benchmark beyond the bound takes several passes
 the documents. What is shuffled is verified hits, summed before they move.
 
 Cases. Null and empty texts, items without words and null ids on either side give
-no row. An item shorter than a seed is sought with the part of a mask that fits, and
-verified whole; items of fewer than ``LEAST_WORDS`` words are not sought. A repeated
+no row. An item shorter than a seed's span is cut in as many pieces as leave one
+unspoiled by the substitutions that ``LEAST_MATCH`` allows; these are its seeds, and
+it is verified whole. One of fewer than eight words is sought as a whole, without
+substitutions; items of fewer than ``least_words`` words say too little and are not
+sought. A repeated
 document id counts as one document, a repeated item likewise. Empty tables give an
 empty result. Other columns are not read.
 """
@@ -39,7 +42,10 @@ MASKS = (
 SPAN = 12
 MARGIN = 4
 LEAST_MATCH = 0.8
-LEAST_WORDS = 8
+#: Words of the shortest items that are sought.
+LEAST_WORDS = 5
+#: Words of the shortest items in which words may differ.
+LEAST_TOLERANT = 8
 #: Words of benchmark items whose seeds are broadcast at once: with four masks
 #: some 40 MB of hash table.
 BLOCK_WORDS = 200_000
@@ -54,35 +60,41 @@ def _hash(mask: int, columns: list[Column]) -> Column:
     return F.xxhash64(F.lit(mask), *columns)
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item, at): a row for each mask and position of each item (array ``w`` of word hashes)."""
+def segments(n: int) -> list[tuple[int, int]]:
+    """The seeds (start, words) of an item of ``n`` words, fewer than ``SPAN``."""
+    pieces = 1 if n < LEAST_TOLERANT else n - math.ceil(round(LEAST_MATCH * n, 9)) + 1
+    edges = [n * k // pieces for k in range(pieces + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
+    """(seed, item, at): a row for each mask and position of each item (array ``w`` of word hashes), for each piece of a short one."""
     n = F.size("w")
-    at = items.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0)))).alias("at"))
-    seeds = []
-    for k, mask in enumerate(MASKS):
-        whole = _hash(k, [F.get("w", F.col("at") + o) for o in mask])
-        seeds.append(F.when(F.size("w") >= SPAN, whole))
-    for length in range(LEAST_WORDS, SPAN):  # shorter items: their first mask's part
-        part = _hash(100 + length, [F.get("w", F.lit(o)) for o in MASKS[0] if o < length])
-        seeds.append(F.when(F.size("w") == length, part))
-    return at.select(F.explode(F.array_compact(F.array(*seeds))).alias("seed"), "item", "at").distinct()
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    at = items.where(n >= SPAN).select("item", "w", F.explode(F.sequence(F.lit(0), n - SPAN)).alias("at"))
+    seeds = [_hash(k, [F.get("w", F.col("at") + o) for o in mask]) for k, mask in enumerate(MASKS)]
+    found = at.select(F.explode(F.array(*seeds)).alias("seed"), "item", "at")
+    for length in short:
+        pieces = [F.struct(_hash(100 + m, [F.get("w", F.lit(a + o)) for o in range(m)]).alias("seed"), F.lit(a).alias("at")) for a, m in segments(length)]
+        of = items.where(n == length).select("item", F.explode(F.array(*pieces)).alias("s"))
+        found = found.unionByName(of.select("s.seed", "item", "s.at"))
+    return found.distinct()
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, n_matched, n_compared): the best verified hit of each pair.
 
     Best is the hit with most matching words, then with fewest compared.
     """
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
     items = benchmark.where("item_id is not null and text is not null").select("item_id", hashed.alias("w"))
-    items = items.where(F.size("w") >= LEAST_WORDS).select(
+    items = items.where(F.size("w") >= max(least_words, 1)).select(
         "item_id", "w", F.xxhash64("item_id", "w").alias("item")
     ).distinct()
     totals = items.agg(F.sum(F.size("w")).alias("n"), F.array_distinct(F.collect_set(F.least(F.size("w"), F.lit(SPAN)))).alias("s")).first()
     blocks = max(1, math.ceil((totals.n or 0) / block_words))
-    lengths = sorted(n for n in totals.s if n < SPAN)
+    short = sorted(n for n in totals.s if n < SPAN)
     pieces = [
-        _block_hits(docs, items if blocks == 1 else items.where(F.pmod(F.col("item"), F.lit(blocks)) == b), hashed, lengths, SPAN)
+        _block_hits(docs, items if blocks == 1 else items.where(F.pmod(F.col("item"), F.lit(blocks)) == b), hashed, short)
         for b in range(blocks)
     ]
     hits = pieces[0]
@@ -97,17 +109,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
     )
 
 
-def _block_hits(docs: DataFrame, items: DataFrame, hashed: Column, lengths: list[int], span: int) -> DataFrame:
-    """Verified hits of one block of items, a row each."""
+def _block_hits(docs: DataFrame, items: DataFrame, hashed: Column, short: list[int]) -> DataFrame:
+    """Verified hits of one block of items, a row each; ``short``: the items' numbers of words under ``SPAN``."""
     corpus = docs.where("doc_id is not null and text is not null").select("doc_id", hashed.alias("dw"))
     corpus = corpus.select("doc_id", "dw", F.explode(F.sequence(F.lit(0), F.size("dw"))).alias("p"))
     seeds = [_hash(k, [F.get("dw", F.col("p") + o) for o in mask]) for k, mask in enumerate(MASKS)]
-    seeds += [_hash(100 + n, [F.get("dw", F.col("p") + o) for o in MASKS[0] if o < n]) for n in lengths]
+    for m in sorted({m for n in short for _, m in segments(n)}):
+        seeds.append(_hash(100 + m, [F.get("dw", F.col("p") + o) for o in range(m)]))
     corpus = corpus.select("doc_id", "dw", "p", F.explode(F.array(*seeds)).alias("seed"))
-    hits = corpus.join(F.broadcast(_item_seeds(items)), "seed")
+    hits = corpus.join(F.broadcast(_item_seeds(items, short)), "seed")
     hits = hits.join(F.broadcast(items.select("item", "item_id", "w")), "item")
-    low = F.greatest(F.lit(0), F.col("at") - MARGIN)
-    high = F.least(F.size("w"), F.col("at") + span + MARGIN) - 1
+    low = F.when(F.size("w") < SPAN, 0).otherwise(F.greatest(F.lit(0), F.col("at") - MARGIN))
+    high = F.least(F.size("w"), F.col("at") + SPAN + MARGIN) - 1
     shift = F.col("p") - F.col("at")
     # compared word by word as rows that are summed at once, without a lambda: so it all
     # stays in the generated code of the join, and no row with a document's words leaves it
@@ -121,9 +134,9 @@ def _block_hits(docs: DataFrame, items: DataFrame, hashed: Column, lengths: list
     return found.where(F.col("n_matched") >= F.lit(LEAST_MATCH) * F.col("n_compared"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
-    leaks = materialize(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    leaks = materialize(find_leaks(docs, benchmark, least_words=least_words).select("doc_id").distinct(), "leaks")
     return without_ids(docs, leaks)
 
 
@@ -138,7 +151,10 @@ def oracle_sql() -> str:
     d AS (SELECT doc_id, {tokens} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
     m AS (SELECT doc_id, item_id, n, p - q AS shift, q FROM dw JOIN iw USING (word)),
-    dense AS (SELECT doc_id, item_id, shift FROM m GROUP BY ALL HAVING count(*) >= {LEAST_WORDS}),
+    dense AS (
+        SELECT doc_id, item_id, n, shift FROM m GROUP BY ALL
+        HAVING count(*) >= CASE WHEN n < {LEAST_TOLERANT} THEN n WHEN n < {SPAN} THEN ceil({LEAST_MATCH} * n) ELSE 8 END
+    ),
     kept AS (SELECT m.* FROM m SEMI JOIN dense USING (doc_id, item_id, shift)),
     masks(mask, o) AS (VALUES {", ".join(offsets)}),
     seeds AS (
@@ -146,8 +162,7 @@ def oracle_sql() -> str:
         WHERE n >= {SPAN} AND q - o BETWEEN 0 AND n - {SPAN}
         GROUP BY doc_id, item_id, n, shift, mask, q - o HAVING count(*) = 8
         UNION
-        SELECT doc_id, item_id, n, shift, 0 AS pos FROM kept WHERE n < {SPAN} AND q < 8
-        GROUP BY doc_id, item_id, n, shift HAVING count(*) = 8
+        SELECT doc_id, item_id, n, shift, 0 AS pos FROM dense WHERE n < {SPAN}
     ),
     spans AS (
         SELECT *, greatest(0, pos - {MARGIN}) AS low, least(n, pos + {SPAN + MARGIN}) - 1 AS high FROM seeds

@@ -3,7 +3,7 @@
 Method. Lines of a file that hold a cue (license, copyright, ...) are its header
 candidates, and so is the whole paragraph of comment lines around one, without its
 comment signs; a file named like a licence (LICENSE, COPYING, ...) is one as a
-whole, compared with the full licence texts as well. Candidates and templates become sparse TF-IDF vectors over the templates' words;
+whole besides, compared with the full licence texts as well. Candidates and templates become sparse TF-IDF vectors over the templates' words;
 the inverse document frequency of a word is counted over all files. A candidate
 gets the template of highest cosine, if that reaches ``LEAST_COSINE``. A file
 without a header of its own takes the license of the licence file in its nearest
@@ -13,8 +13,9 @@ paths with the licence files' directories.
 Cases. A null or empty text has no header. A null path keeps its row, inherits
 nothing and is no licence file. Paths may begin with a slash or not; empty steps
 don't count. Of several licence files in a directory the best match counts, then
-the first path. Ties between templates go to the first name. Repeated rows get the
-same result. An empty table gives an empty result. Whole texts are scanned.
+the first path. A licence file that is like no licence as a whole counts by its
+lines. Ties between templates go to the first name. Rows of one id and path are told
+apart by their texts; repeated rows get the same result. An empty table gives an empty result. Whole texts are scanned.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, materialize, small_batches
 
 LEAST_COSINE = 0.6
+#: Characters of a text that ``layout`` may take for a licence notice.
+NOTICE = 500
 _CUES = re.compile(
     r"licen[sc]e|copyright|copyleft|all rights reserved|spdx|redistribut|warrant|permission is hereby|public domain|cc by|cc0"
 )
@@ -183,10 +186,10 @@ def paragraph(text: str, start: int, end: int, inside) -> tuple[int, int, str] |
 def candidates(path: str | None, text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, text) of what may state a license: lines with a cue, comments around them, or a whole licence file."""
     text = text or ""
-    if path is not None and is_license_file(path):
-        return [(0, len(text), text)] if text else []
     low = text.lower()
     out, done, past = [], 0, -1
+    if text and path is not None and is_license_file(path):
+        out.append((0, len(text), text))
     if len(low) != len(text):  # some capitals change length: keep the offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     blocks: list[tuple[int, int]] | None = None
@@ -218,21 +221,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = vocabulary(True)
     counts: Counter = Counter()
     n = 0
-    kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
-    names = ("id", "path", "is_file", "start", "end", "candidate", "term", "n")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
+    names = ("id", "path", "h", "is_file", "is_part", "start", "end", "candidate", "term", "n")
 
     def rows(found) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=list(names))
 
     for b in batches:
         found = []
-        for i, path, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for i, path, h, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
             n += 1
             counts.update(set(_TERM.findall((text or "").lower())) & words)
             whole = path is not None and is_license_file(path)
-            found += [(i, path, whole, a, e, t, None, None) for a, e, t in candidates(path, text)]
+            found += [(i, path, h, whole, whole and k > 0, a, e, t, None, None) for k, (a, e, t) in enumerate(candidates(path, text))]
         yield rows(found)
-    yield rows([(None, None, None, None, None, None, t, c) for t, c in [*counts.items(), ("", n)]])
+    yield rows([(*[None] * 8, t, c) for t, c in [*counts.items(), ("", n)]])
 
 
 def ancestors(path: Column) -> Column:
@@ -250,48 +253,48 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", le
     an inherited license comes from.
     """
     small_batches(files.sparkSession)
-    source = files.select(F.col(id_col).cast("long").alias("id"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    schema = "id long, path string, is_file boolean, start int, end int, candidate string, term string, n long"
+    # rows are told apart by id, path and text
+    source = files.select(
+        F.col(id_col).cast("long").alias("id"), path.cast("string").alias("path"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")
+    )
+    schema = "id long, path string, h long, is_file boolean, is_part boolean, start int, end int, candidate string, term string, n long"
     got = materialize(source.mapInArrow(_extract, schema), "license-lines")
     totals = {r.term: r.n for r in got.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     model = model_of(totals, totals.get("", 0))
+    kept = ["id", "path", "h", "is_file", "is_part", "start", "end"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = b.column(2).to_pylist()
-            found = [(model.whole if f else model).match(t) for f, t in zip(files, b.column(5).to_pylist(), strict=True)]
-            cols = [*b.columns[:5], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "path", "is_file", "start", "end", "license", "cosine"])
+            files = b.column(3).to_pylist()
+            found = [(model.whole if f else model).match(t) for f, t in zip(files, b.column(7).to_pylist(), strict=True)]
+            cols = [*b.columns[:7], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "license", "cosine"])
 
-    lines = got.where("term is null").select("id", "path", "is_file", "start", "end", "candidate")
-    scored = lines.mapInArrow(match, "id long, path string, is_file boolean, start int, end int, license string, cosine double")
+    lines = got.where("term is null").select(*kept, "candidate")
+    scored = lines.mapInArrow(match, "id long, path string, h long, is_file boolean, is_part boolean, start int, end int, license string, cosine double")
     good = materialize(scored.where((F.col("cosine") >= least) & F.col("license").isNotNull()), "license-matches")
-    # best cosine, then first place: as the least of a struct, so that rows are summed before they move
-    rank = F.struct((-F.col("cosine")).alias("minus"), "start", "end", "license", "is_file")
-    own = good.where("id is not null").groupBy("id", "path").agg(F.min(rank).alias("m"))
-    own = own.select("id", F.col("path").alias("own_path"), "m.*").withColumn("cosine", -F.col("minus")).drop("minus")
+    # whole licence files before their parts, then best cosine, then first place: as the least of a struct, so that rows are summed before they move
+    minus = (-F.col("cosine")).alias("minus")
+    own = good.groupBy("id", "path", "h").agg(F.min(F.struct("is_part", minus, "start", "end", "license", "is_file")).alias("m"))
+    own = materialize(own.select("id", "path", "h", "m.license", (-F.col("m.minus")).alias("cosine"), "m.start", "m.end", "m.is_file"), "license-own")
     folder = F.element_at(ancestors(F.col("path")), 1)
-    licence_files = good.where("is_file and path is not null").groupBy(folder.alias("folder")).agg(
-        F.min(F.struct((-F.col("cosine")).alias("minus"), "path", "license")).alias("f")
+    licence_files = own.where("is_file and path is not null").groupBy(folder.alias("folder")).agg(
+        F.min(F.struct(minus, "path", "license")).alias("f")
     )
     licence_files = materialize(licence_files.select("folder", "f.path", "f.license", (-F.col("f.minus")).alias("cosine")), "license-files")
-    rows = source.select("id", "path")
-    if licence_files.isEmpty():
-        inherited = None
-    else:
-        # every distinct directory is resolved once, however many files it holds
-        folders = rows.where("path is not null").select(folder.alias("d"), ancestors(F.col("path")).alias("up")).distinct()
-        steps = folders.select("d", F.posexplode("up").alias("far", "folder"))
-        small = licence_files.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        held = F.broadcast(licence_files) if small else licence_files
-        inherited = steps.join(held, "folder").groupBy("d").agg(F.min(F.struct("far", "path", "license", "cosine")).alias("i"))
-    key = own.select(F.col("id").alias("own_id"), "own_path", "license", "cosine", "start", "end", "is_file")
-    out = rows.join(key, (F.col("id") == F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")), "left")
-    if inherited is None:
-        origin, origin_path = F.when(F.col("is_file"), "file").when(F.col("license").isNotNull(), "header").otherwise("none"), F.lit(None).cast("string")
-        return out.select(
-            F.col("id").alias(id_col), "path", "license", "cosine", "start", "end", origin.alias("origin"), origin_path.alias("origin_path")
-        )
+    rows = source.select("id", "path", "h")
+    key = own.toDF("own_id", "own_path", "own_h", "license", "cosine", "start", "end", "is_file")
+    same = F.col("id").eqNullSafe(F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")) & (F.col("h") == F.col("own_h"))
+    out = rows.join(key, same, "left")
+    # every distinct directory is resolved once, however many files it holds
+    folders = rows.where("path is not null").select(folder.alias("d"), ancestors(F.col("path")).alias("up")).distinct()
+    steps = folders.select("d", F.posexplode("up").alias("far", "folder"))
+    small = licence_files.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    held = F.broadcast(licence_files) if small else licence_files
+    inherited = steps.join(held, "folder").groupBy("d").agg(F.min(F.struct("far", "path", "license", "cosine")).alias("i"))
+    inherited = materialize(inherited, "license-folders")
+    if inherited.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        inherited = F.broadcast(inherited)
     out = out.withColumn("d", folder).join(inherited, "d", "left")
     taken = F.col("license").isNull() & F.col("i").isNotNull()
     return out.select(
@@ -304,3 +307,22 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", le
         F.when(F.col("is_file"), "file").when(F.col("license").isNotNull(), "header").when(taken, "inherited").otherwise("none").alias("origin"),
         F.when(taken, F.col("i.path")).alias("origin_path"),
     )
+
+
+def layout(doc_id: Column, source: Column, text: Column) -> Column:
+    """A path for a document of a table that has none.
+
+    A source's documents lie in a folder for each 1,000 ids, and in it one for each
+    100. A text of up to ``NOTICE`` characters whose last line has a cue is a licence
+    file: of the upper folder if it has half as many or fewer, else of the lower one.
+    Every other text is a file of the lower folder.
+    """
+    upper = F.concat_ws("/", F.coalesce(source, F.lit("unknown")), F.floor(doc_id / 1000).cast("string"))
+    lower = F.concat_ws("/", upper, F.floor(doc_id / 100).cast("string"))
+    size = F.length(text)
+    last = F.lower(F.element_at(F.split(F.rtrim(text), "\n"), -1))
+    notice = F.coalesce((size <= NOTICE) & last.rlike(_CUES.pattern), F.lit(False))
+    name = F.coalesce(doc_id.cast("string"), F.lit("none"))
+    return F.when(notice, F.concat_ws("/", F.when(size <= NOTICE // 2, upper).otherwise(lower), F.concat(F.lit("LICENSE."), name))).otherwise(
+        F.concat_ws("/", lower, F.concat(name, F.lit(".txt")))
+    )

@@ -58,7 +58,7 @@ _KINDS = _Kinds()
 
 def shape(word: str) -> str:
     """The word's kinds of characters, runs cut short: ``AA!!`` for ``THE!!``."""
-    return _RUNS.sub(r"\1\1", word[:40].translate(_KINDS))
+    return _RUNS.sub(r"\1\1", word.translate(_KINDS))
 
 
 class Featurizer:
@@ -118,6 +118,17 @@ class QualityModel:
         return np.diff(np.concatenate([edge, below, edge + 1], axis=1), axis=1)
 
 
+def ordinal_loss(latent: np.ndarray, y: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean minus log-likelihood of the grades ``y``, and its gradients by latent qualities and by thresholds."""
+    cut = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    up = 1 / (1 + np.exp(-np.clip(cut[y + 1] - latent, -60, 60)))
+    low = 1 / (1 + np.exp(-np.clip(cut[y] - latent, -60, 60)))
+    p = np.maximum(up - low, 1e-9)
+    d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
+    by_cut = np.bincount(y + 1, -d_up, len(cut)) + np.bincount(y, d_low, len(cut))
+    return float(-np.log(p).mean()), (d_up - d_low) / len(y), by_cut[1:-1] / len(y)
+
+
 def train(
     rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, epochs: int = 30, rate: float = 0.3, l2: float = 1e-5
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +154,7 @@ def train(
             pos = np.repeat(ends[part] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at, v, row = at_all[pos], v_all[pos], np.repeat(np.arange(len(part)), n)
             latent = np.bincount(row, v * w[at], len(part))
-            cut = np.concatenate([[-np.inf], thresholds(free), [np.inf]])
-            up = 1 / (1 + np.exp(-np.clip(cut[y[part] + 1] - latent, -60, 60)))
-            low = 1 / (1 + np.exp(-np.clip(cut[y[part]] - latent, -60, 60)))
-            p = np.maximum(up - low, 1e-9)
-            d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
-            g_latent = (d_up - d_low) / len(part)  # of minus the log-likelihood
-            g_cut = np.bincount(y[part] + 1, -d_up, len(cut)) + np.bincount(y[part], d_low, len(cut))
-            g_cut = g_cut[1:-1] / len(part)
+            _, g_latent, g_cut = ordinal_loss(latent, y[part], thresholds(free))
             g_free = np.cumsum(g_cut[::-1])[::-1].copy()
             g_free[1:] *= np.exp(free[1:])
             g = np.bincount(at, v * g_latent[row], 1 << BITS) + l2 * w

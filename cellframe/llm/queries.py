@@ -53,10 +53,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License of every document; a document is a file in the folder of its source."""
+    """License of every document, own or inherited, the documents being laid out as files in folders."""
     docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs, "doc_id", path)
+    return licenses.scan(docs, "doc_id", licenses.layout(F.col("doc_id"), F.col("source"), F.col("text")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

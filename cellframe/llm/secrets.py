@@ -4,9 +4,10 @@ Method. The base kinds are found by pattern: ``assign`` (a keyword, an operator
 and a value of 8 or more characters), ``access`` (AKIA keys of 16 or more) and
 ``hex`` (32 or more digits); matches run from left to right and don't overlap
 within a kind, and those that are too short are dropped after matching. The
-method adds spans of kind ``markov``: maximal runs of key characters, long
-enough and with a digit, that a character Markov model of random strings
-explains better than one of ordinary identifiers. Both models are order-1
+method adds spans of kind ``markov``: maximal runs of key characters, of
+``least_run`` characters or more, ``least_distinct`` different ones and a digit,
+that a character Markov model of random strings explains better than one of
+ordinary identifiers. Both models are order-1
 transition tables with add-one smoothing, trained from labelled samples; the
 decision is the log-likelihood ratio a character. A run that overlaps a base
 span is not added. Offsets are code points, ends exclusive; an ``assign`` span
@@ -45,8 +46,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_RUN = 20
+_RUN_CHARS = "[A-Za-z0-9+/_=-]"
+#: Characters of a run that the models are asked about, and different ones among them:
+#: in fewer, the ratio says too little.
+LEAST_RUN, LEAST_DISTINCT = 20, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -82,6 +85,8 @@ class MarkovModels:
 
     ratio: np.ndarray
     threshold: float
+    least_run: int = LEAST_RUN
+    least_distinct: int = LEAST_DISTINCT
 
     def score(self, run: str) -> float:
         """The log-likelihood ratio a character: above 0 speaks for a random string."""
@@ -90,9 +95,9 @@ class MarkovModels:
 
     def is_secret(self, run: str) -> bool:
         return (
-            len(run) >= LEAST_RUN
+            len(run) >= self.least_run
             and any(c.isdigit() for c in run)
-            and len(set(run)) >= 8
+            and len(set(run)) >= self.least_distinct
             and self.score(run) > self.threshold
         )
 
@@ -130,19 +135,16 @@ def labelled_samples(words: Iterable[str], n: int = 4000, seed: int = 5) -> list
     return out
 
 
-def fit(docs: DataFrame, most_docs: int = 500) -> MarkovModels:
-    """Models whose ordinary words come from a sample of at most ``most_docs`` documents.
+def fit(docs: DataFrame, most_docs: int = 500, most_words: int = 20_000) -> MarkovModels:
+    """Models whose ordinary words come from whole texts of a sample of at most ``most_docs`` documents.
 
-    At most 200 different words of a sampled document are taken.
+    Of these texts' distinct words, ``most_words`` at most are taken, those of least hash.
     """
     ids = sample_ids(docs, most_docs)
-    words = F.array_distinct(F.split(F.lower(F.col("text")), "[^a-z]+"))
-    rows = (
-        docs.join(F.broadcast(ids), "doc_id", "left_semi")
-        .select(F.slice(F.filter(words, lambda w: F.length(w).between(3, 15)), 1, 200).alias("w"))
-        .collect()
-    )
-    return train(labelled_samples(w for r in rows for w in r.w or []))
+    words = F.explode(F.split(F.lower(F.col("text")), "[^a-z]+"))
+    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(words.alias("w")).where(F.length("w").between(3, 15)).distinct()
+    rows = found.orderBy(F.xxhash64("w", F.lit(13)), "w").limit(most_words).collect()
+    return train(labelled_samples(r.w for r in rows))
 
 
 def scan_text(text: str | None, models: MarkovModels) -> tuple[list, list]:
@@ -151,8 +153,8 @@ def scan_text(text: str | None, models: MarkovModels) -> tuple[list, list]:
     raw = text.encode("utf-8", "replace")
     base = base_spans(text, raw)
     more = []
-    if b"x" * LEAST_RUN in raw.translate(_RUN_MASK):
-        for m in _RUN.finditer(text):
+    if b"x" * models.least_run in raw.translate(_RUN_MASK):
+        for m in re.finditer(f"{_RUN_CHARS}{{{models.least_run},}}", text):
             a, b = m.span()
             if not any(s < b and a < e for s, _, e in base) and models.is_secret(m[0]):
                 more.append((a, 3, b))

@@ -33,8 +33,8 @@ from .common import held_out, map_rows, materialize, sample_ids, small_batches
 
 #: Labelled documents that the model is fitted on at most.
 MOST_DOCS = 8000
-#: Entries of the learned lexicon at most, the strongest ones.
-MOST_ENTRIES = 2000
+#: What a unit of the learned lexicon needs at least: the statistic, and the log odds.
+LEAST_STRENGTH, LEAST_ODDS = 18, 2
 #: Words kept in a worker's memo; it is emptied when full.
 MEMO = 100_000
 
@@ -145,9 +145,9 @@ def lexicon_of(counts: list[tuple[str, int, int]], all_toxic: int, all_clean: in
     for unit, toxic, clean in counts:
         g = strength(toxic, clean, all_toxic, all_clean)
         odds = math.log((toxic + 0.5) / (clean + 0.5)) - math.log((all_toxic + 1) / (all_clean + 1))
-        if g >= 18 and odds >= 2:
+        if g >= LEAST_STRENGTH and odds >= LEAST_ODDS:
             ranked.append((-g, unit, odds))
-    return {u: odds for _, u, odds in sorted(ranked)[:MOST_ENTRIES]}
+    return {u: odds for _, u, odds in sorted(ranked)}
 
 
 @dataclass
