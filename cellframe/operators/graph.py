@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,32 +11,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ratio
+from ..core import ratio, settled
 from ..links import components
 
 #: Bytes of the base vectors that are broadcast at once; more are taken in blocks.
 BLOCK_BYTES = 128 << 20
 #: Edges that community detection and layouts gather on the driver at most.
 MOST_EDGES = 5_000_000
+#: Cells up to which ``auto`` compares all pairs.
+MOST_EXACT = 200_000
+#: Lists of the inverted file at most, sampled vectors a list that place them, and lists that a cell looks into.
+MOST_LISTS, SAMPLED, PROBED = 4096, 16, 24
+#: Vectors of a list that meet in one task, on either side.
+LIST_SHARD = 8192
 
 
-def knn(embeddings: DataFrame, k: int = 30, metric: str = "cosine", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(cell_id, rank, nbr_id, dist): the exact ``k`` nearest other cells, ranks from 1, ties by id.
-
-    ``embeddings`` has cell_id and vec (an array of any numeric type). The base is
-    broadcast in blocks of a bounded size, each matched with all cells by matrix
-    products of Arrow batches; with several blocks, a cell's best of each block
-    meet in a window of ``k`` times the blocks.
+def knn(
+    embeddings: DataFrame, k: int = 30, metric: str = "cosine", block_bytes: int = BLOCK_BYTES,
+    method: str = "auto", probes: int = PROBED, seed: int = 0,
+) -> DataFrame:
+    """(cell_id, rank, nbr_id, dist): the ``k`` nearest other cells, ranks from 1, ties by id.
+
+    ``embeddings`` has cell_id and vec (an array of any numeric type). ``exact``
+    compares all pairs: the base is broadcast in blocks of a bounded size, each matched
+    with all cells by matrix products of Arrow batches; with several blocks, a cell's
+    best of each block meet in a window of ``k`` times the blocks. ``approximate`` looks
+    into the ``probes`` nearest lists of an inverted file, so that work grows with
+    ``n^1.5`` and each vector moves ``probes + 1`` times. ``auto`` is exact up to
+    ``MOST_EXACT`` cells.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
+    if method not in ("auto", "exact", "approximate"):
+        raise ValueError(f"unknown method {method!r}")
     source = embeddings.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("vec").cast("array<double>").alias("vec"))
     row = source.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    schema = "cell_id long, nbr_id long, dist double"
     if not row.n:
         return source.sparkSession.createDataFrame([], "cell_id long, rank int, nbr_id long, dist double")
-    d, sc = row.d, source.sparkSession.sparkContext
-    blocks = max(1, math.ceil(row.n * d * 8 / block_bytes))
+    if method == "approximate" or (method == "auto" and row.n > MOST_EXACT):
+        found = _listed(source, row.n, row.d, k, metric, probes, seed)
+    else:
+        found = _all_pairs(source, row.n, row.d, k, metric, block_bytes)
+    order = F.row_number().over(Window.partitionBy("cell_id").orderBy("dist", "nbr_id"))
+    return found.select("cell_id", order.alias("rank"), "nbr_id", "dist").where(F.col("rank") <= k)
+
+
+_NEAR = "cell_id long, nbr_id long, dist double"
+
+
+def _distances(x: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
+    dot = x @ base.T
+    if metric == "cosine":
+        return 1.0 - dot
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (base * base).sum(axis=1)[None, :] - 2 * dot, 0.0))
+
+
+def _nearest(own: np.ndarray, x: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """The ``k`` nearest of ``base``, whose ids ascend, to each row of ``x`` but itself."""
+    for at in range(0, len(own), 512):
+        mine = own[at : at + 512]
+        dist = _distances(x[at : at + 512], base, metric)
+        dist[mine[:, None] == ids[None, :]] = np.inf
+        top = min(k, len(ids))
+        bound = np.partition(dist, top - 1, axis=1)[:, top - 1]
+        cells, nbrs, far = [], [], []
+        for r in range(len(mine)):
+            near = np.flatnonzero((dist[r] <= bound[r]) & np.isfinite(dist[r]))
+            near = near[np.argsort(dist[r, near], kind="stable")][:top]
+            cells.append(np.full(len(near), mine[r]))
+            nbrs.append(ids[near])
+            far.append(dist[r, near])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (cells, nbrs, far)], names=["cell_id", "nbr_id", "dist"])
+
+
+def _all_pairs(source: DataFrame, n: int, d: int, k: int, metric: str, block_bytes: int) -> DataFrame:
+    sc = source.sparkSession.sparkContext
+    blocks = max(1, math.ceil(n * d * 8 / block_bytes))
+    # a file of vectors is small for the work it makes: it is dealt to all tasks
+    asking = source.repartition(max(sc.defaultParallelism, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cell_id")
     found = None
     for b in range(blocks):
         part = source if blocks == 1 else source.where(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)) == b)
@@ -47,34 +100,93 @@ def knn(embeddings: DataFrame, k: int = 30, metric: str = "cosine", block_bytes:
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, base = shared.value
-            square = (base * base).sum(axis=1)
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    own = batch.column(0).slice(at, 512).to_numpy()
-                    x = _unit(_matrix(batch.column(1).slice(at, 512), d), metric)
-                    dot = x @ base.T
-                    if metric == "cosine":
-                        dist = 1.0 - dot
-                    else:
-                        dist = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + square[None, :] - 2 * dot, 0.0))
-                    dist[own[:, None] == ids[None, :]] = np.inf
-                    top = min(k, len(ids))
-                    bound = np.partition(dist, top - 1, axis=1)[:, top - 1]
-                    cells, nbrs, far = [], [], []
-                    for r in range(len(own)):
-                        near = np.flatnonzero((dist[r] <= bound[r]) & np.isfinite(dist[r]))
-                        near = near[np.argsort(dist[r, near], kind="stable")][:top]  # the base is in id order
-                        cells.append(np.full(len(near), own[r]))
-                        nbrs.append(ids[near])
-                        far.append(dist[r, near])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in (cells, nbrs, far)], names=["cell_id", "nbr_id", "dist"]
-                    )
-
-        got = source.mapInArrow(nearest, schema)
+                yield from _nearest(batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), d), metric), ids, base, k, metric)
+
+        got = asking.mapInArrow(nearest, _NEAR)
         found = got if found is None else found.unionByName(got)
-    order = F.row_number().over(Window.partitionBy("cell_id").orderBy("dist", "nbr_id"))
-    return found.select("cell_id", order.alias("rank"), "nbr_id", "dist").where(F.col("rank") <= k)
+    return found
+
+
+def _centres(x: np.ndarray, lists: int, metric: str, seed: int, rounds: int = 8) -> np.ndarray:
+    """Lloyd's algorithm from sampled rows; a list that loses all its rows keeps its place."""
+    centres = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        label = np.concatenate([_distances(x[a : a + 1024], centres, metric).argmin(axis=1) for a in range(0, len(x), 1024)])
+        n = np.bincount(label, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, label, x)
+        centres = _unit(np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres), metric)
+    return centres
+
+
+def _listed(source: DataFrame, n: int, d: int, k: int, metric: str, probes: int, seed: int) -> DataFrame:
+    """Candidates from an inverted file: each vector is in its nearest list and asks the ``probes`` nearest.
+
+    The lists' places are fitted on a bounded sample, and every vector is indexed. A
+    list of many vectors is cut in shards on either side, and each pair of shards is a
+    group of its own, so that no task holds a whole hot list.
+    """
+    spark = source.sparkSession
+    lists = int(min(MOST_LISTS, max(1, math.isqrt(n))))
+    sample = source.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(SAMPLED * lists).toArrow()
+    x = _unit(_matrix(sample.column("vec").combine_chunks(), d), metric)
+    shared = spark.sparkContext.broadcast(_centres(x, lists, metric, seed))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        m = min(probes, len(centres))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                dist = _distances(_unit(_matrix(b.column(1), d), metric), centres, metric)
+                near = np.argpartition(dist, m - 1, axis=1)[:, :m]
+                home = dist.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(home, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, m), pa.int32()), pa.array(near.ravel(), pa.int32()))],
+                    names=["cell_id", "home", "near"],
+                )
+
+    placed = settled(source.mapInArrow(place, "cell_id long, home int, near array<int>"), "placed")
+    asks = placed.select("cell_id", F.explode("near").alias("list"))
+    holds = placed.select("cell_id", F.col("home").alias("list"))
+    shards = lambda rows, name: rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIST_SHARD)).cast("int").alias(name))
+    plan = F.broadcast(shards(asks, "qs").join(shards(holds, "bs"), "list"))  # a row a list
+
+    def dealt(rows: DataFrame, own: str, other: str, asking: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("cell_id", F.lit(seed + 1)), F.col(own)).cast("int")
+        spread = rows.join(plan, "list").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        i, j = ("mine", "theirs") if asking else ("theirs", "mine")
+        return spread.select("list", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(asking).alias("asks"), "cell_id")
+
+    # ids first, vectors once it is known where to
+    groups = dealt(asks, "qs", "bs", True).unionByName(dealt(holds, "bs", "qs", False)).join(source, "cell_id")
+    groups = groups.select("list", "i", "j", "asks", "cell_id", "vec")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * (probes + 1) / 200_000))
+    groups = groups.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "asks", "cell_id")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, base = None, [], []
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            own = batch.column(4).to_numpy()
+            x = _unit(_matrix(batch.column(5), d), metric)
+            new = np.ones(len(own), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in keys], axis=0)
+            starts = np.flatnonzero(new).tolist()
+            for a, b in zip(starts, [*starts[1:], len(own)], strict=True):
+                now = tuple(c[a] for c in keys[:3])
+                if now != key:
+                    key, ids, base = now, [], []
+                if not keys[3][a]:  # the base of a group comes first
+                    ids.append(own[a:b])
+                    base.append(x[a:b])
+                elif ids:
+                    if len(ids) > 1:
+                        ids, base = [np.concatenate(ids)], [np.concatenate(base)]
+                    yield from _nearest(own[a:b], x[a:b], ids[0], base[0], k, metric)
+
+    return groups.mapInArrow(match, _NEAR)
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -244,37 +356,76 @@ def leiden_partition(g: Graph, resolution: float = 1.0, seed: int | None = None,
     return part[member]
 
 
+def _coarser(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, parent), and the edges between parents: nodes that are each other's heaviest neighbour become one.
+
+    ``edges`` (src <= dst, w; a loop is a node's inner weight). Of equally heavy edges a
+    hash of the edge decides, so that the heaviest of all has both its ends agree.
+    """
+    order = F.struct("w", F.xxhash64("src", "dst"))
+    links = edges.where("src != dst").select("src", "dst", order.alias("o"))
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "o"))
+    best = settled(both.groupBy("src").agg(F.max_by("dst", "o").alias("dst")), "best")
+    pairs = best.join(best.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).where("src < dst")
+    moved = settled(pairs.select(F.col("dst").alias("node"), F.col("src").alias("parent")), "pairs")
+    a, b = moved.toDF("src", "pa"), moved.toDF("dst", "pb")
+    up = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("pa", "src").alias("x"), F.coalesce("pb", "dst").alias("y"), "w")
+    merged = up.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("w").alias("w"))
+    return moved, settled(merged, "coarser")
+
+
 def leiden(
     cells: DataFrame, edges: DataFrame, resolution: float = 1.0, random_state: int = 0, use_weights: bool = True,
     flavor: str = "deterministic", n_restarts: int = 4, n_iterations: int = -1, most_edges: int = MOST_EDGES,
 ) -> DataFrame:
-    """(cell_id, cluster): communities as text numbers, the largest being ``0``.
+    """(cell_id, cluster): communities as text numbers, the largest being ``0``, ties by least id.
 
     ``deterministic`` takes nodes in the order of their ids; ``quality`` keeps the
-    best of that and ``n_restarts`` random orders. The graph is gathered on the
-    driver if it has at most ``most_edges`` edges; a larger one raises, and should
-    be cut to its components or fewer neighbours first.
+    best of that and ``n_restarts`` random orders. A graph of at most ``most_edges``
+    edges is partitioned on the driver. A larger one is first made coarser in a
+    distributed way, by merging nodes that are each other's heaviest neighbour, until
+    it is small enough; cells without an edge never leave the executors.
     """
     if flavor not in ("deterministic", "quality"):
         raise ValueError(f"unknown flavor {flavor!r}")
     weight = F.col("weight").cast("double") if use_weights and "weight" in edges.columns else F.lit(1.0)
-    found = edges.select("src", "dst", weight.alias("w")).where("src != dst")
-    if found.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
-    ids = np.array(sorted(r.cell_id for r in cells.select("cell_id").collect()), np.int64)
-    table = found.toPandas()
+    level = edges.where("src != dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(weight).alias("w"))
+    level = settled(level, "edges")
+    above: DataFrame | None = None  # (cell, node of the present level)
+    while level.limit(most_edges + 1).count() > most_edges and not level.where("src != dst").isEmpty():
+        if above is None:
+            above = level.select(F.col("src").alias("cell")).union(level.select("dst")).distinct().withColumn("node", F.col("cell"))
+        moved, level = _coarser(level)
+        above = settled(above.join(moved, "node", "left").select("cell", F.coalesce("parent", "node").alias("node")), "above")
+    table = level.toPandas()  # bounded by ``most_edges``
+    ids = np.unique(table[["src", "dst"]].to_numpy(np.int64))
     g = Graph(len(ids), np.searchsorted(ids, table.src.to_numpy(np.int64)), np.searchsorted(ids, table.dst.to_numpy(np.int64)), table.w.to_numpy(float))
     rounds = 10 if n_iterations < 0 else n_iterations
     part = leiden_partition(g, resolution, None, rounds)
     if flavor == "quality":
         others = [leiden_partition(g, resolution, random_state * 1000 + s, rounds) for s in range(n_restarts)]
         part = max([part, *others], key=lambda p: g.modularity(p, resolution))
-    _, part = np.unique(part, return_inverse=True)
-    size = np.bincount(part)
-    name = np.empty(len(size), np.int64)
-    name[np.lexsort((np.arange(len(size)), -size))] = np.arange(len(size))
-    rows = [(int(c), str(name[p])) for c, p in zip(ids, part, strict=True)]
-    return cells.sparkSession.createDataFrame(rows, "cell_id long, cluster string")
+    spark = cells.sparkSession
+    first = np.full(int(part.max()) + 1 if len(part) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(first, part, ids)  # a community is known by its least node
+    found = spark.createDataFrame(pa.table({"node": pa.array(ids, pa.int64()), "c": pa.array(first[part] if len(part) else [], pa.int64())}))
+    if above is not None:
+        found = above.join(found, "node").select(F.col("cell").alias("node"), "c")
+    of = settled(cells.select("cell_id").join(found, F.col("cell_id") == F.col("node"), "left").select("cell_id", F.coalesce("c", "cell_id").alias("c")), "communities")
+    sizes = of.groupBy("c").agg(F.count("*").alias("n"), F.min("cell_id").alias("least"))
+    name = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "least")) - 1
+    return of.join(sizes.select("c", name.cast("string").alias("cluster")), "c").select("cell_id", "cluster")
+
+
+def leiden_parameters(resolution: float = 1.0, random_state: int = 0, n_iterations: int = -1, flavor: str = "deterministic") -> dict:
+    """The record of a partition's parameters that is kept beside it."""
+    return {"params": {"resolution": resolution, "random_state": random_state, "n_iterations": n_iterations, "gpu_flavor": flavor}}
+
+
+def cluster_categories(clusters: DataFrame) -> list[str]:
+    """The names of clusters in natural order: 2 before 10."""
+    names = [r.cluster for r in clusters.select("cluster").distinct().collect()]
+    return sorted(names, key=lambda s: [(0, int(t), "") if t.isdigit() else (1, 0, t) for t in re.findall(r"\d+|\D+", s)])
 
 
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:

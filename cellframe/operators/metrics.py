@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import AnnotatedMatrix, ratio, settled
 from ..functions.special import chi2_ppf
@@ -182,34 +184,46 @@ def clisi(neighbours: DataFrame, cells: DataFrame, label: str, scale: bool = Tru
     return _median_lisi(neighbours, cells, label, "clisi", lambda m, n: ratio(n - m, n - 1), scale, perplexity)
 
 
-def leiden_agreement(neighbours: DataFrame, cells: DataFrame, label: str, resolution: float = 1.0) -> DataFrame:
-    """One row: nmi, ari and the number of clusters of a Leiden partition against ``label``."""
-    found = graph.leiden(cells, graph.knn_edges(neighbours), resolution)
+def leiden_agreement(
+    neighbours: DataFrame, cells: DataFrame, label: str, resolution: float = 1.0, clusters: DataFrame | None = None
+) -> DataFrame:
+    """One row: nmi, ari and the number of clusters of a Leiden partition against ``label``.
+
+    ``clusters`` (cell_id, cluster) is a partition found before, to be taken instead.
+    """
+    found = clusters if clusters is not None else graph.leiden(cells, graph.knn_edges(neighbours), resolution)
     pairs = found.join(cells.select("cell_id", F.col(label).alias("label")), "cell_id")
     return graph.agreement(pairs, "cluster", "label").select("nmi", "ari", F.col("n_cluster").alias("n_leiden_clusters"))
 
 
 def integration_report(
     embeddings: DataFrame, cells: DataFrame, batch: str, cell_type: str, n_neighbors: int = 30, resolution: float = 1.0,
-    neighbours: DataFrame | None = None, connectivity_key: str | None = None,
+    neighbours: DataFrame | None = None, connectivity_key: str | None = None, clusters: DataFrame | None = None,
 ) -> DataFrame:
     """One row: batch_asw, celltype_asw, graph_connectivity, nmi, ari, n_leiden_clusters, and counts."""
     near = settled(neighbours if neighbours is not None else graph.knn(embeddings, n_neighbors), "knn")
     parts = [
-        average_silhouette(embeddings, cells, batch, "batch_asw"),
-        average_silhouette(embeddings, cells, cell_type, "celltype_asw"),
-        graph.graph_connectivity(near, cells, connectivity_key or batch),
-        leiden_agreement(near, cells, cell_type, resolution),
-        cells.agg(F.count("*").alias("n_cells"), F.count_distinct(batch).alias("n_batches"), F.count_distinct(cell_type).alias("n_cell_types")),
+        lambda: average_silhouette(embeddings, cells, batch, "batch_asw"),
+        lambda: average_silhouette(embeddings, cells, cell_type, "celltype_asw"),
+        lambda: graph.graph_connectivity(near, cells, connectivity_key or batch),
+        lambda: leiden_agreement(near, cells, cell_type, resolution, clusters),
+        lambda: cells.agg(F.count("*").alias("n_cells"), F.count_distinct(batch).alias("n_batches"), F.count_distinct(cell_type).alias("n_cell_types")),
     ]
     return _side_by_side(parts)
 
 
-def _side_by_side(rows: list[DataFrame]) -> DataFrame:
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.crossJoin(more)
-    return out
+def _side_by_side(parts: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The columns of tables of one row, which are found at the same time: none of these jobs fills a cluster by itself."""
+
+    def found(part: Callable[[], DataFrame]) -> tuple[Row, T.StructType]:
+        df = part()
+        return df.first(), df.schema
+
+    with ThreadPoolExecutor(len(parts)) as pool:
+        rows = list(pool.map(found, parts))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for _, s in rows for f in s.fields])
+    spark = SparkSession.active()
+    return spark.createDataFrame([tuple(v for r, _ in rows for v in r)], schema)
 
 
 def _mean_of(names: list[str]) -> Column:
@@ -225,7 +239,7 @@ BIO_METRICS = ["celltype_asw", "nmi", "ari", "clisi", "isolated_label_asw"]
 def scib_metrics(
     embeddings: DataFrame, cells: DataFrame, batch: str = "batch", label: str = "cell_type", n_neighbors: int = 30,
     resolution: float = 1.0, max_cells_silhouette: int | None = None, neighbours: DataFrame | None = None,
-    connectivity_key: str | None = None,
+    connectivity_key: str | None = None, clusters: DataFrame | None = None,
 ) -> DataFrame:
     """One row: four metrics of batch mixing, five of type conservation, and their scores.
 
@@ -238,16 +252,16 @@ def scib_metrics(
     part = cells if sampled is None else cells.join(sampled, "cell_id", "left_semi")
     row = _side_by_side(
         [
-            average_silhouette(embeddings, part, batch, "batch_asw"),
-            graph.graph_connectivity(near, cells, connectivity_key or batch),
-            kbet(near, cells, batch),
-            ilisi(near, cells, batch),
-            average_silhouette(embeddings, part, label, "celltype_asw"),
-            leiden_agreement(near, cells, label, resolution),
-            clisi(near, cells, label),
-            isolated_label_silhouette(embeddings, part, label, batch),
-            cells.agg(F.count("*").alias("n_cells"), F.count_distinct(batch).alias("n_batches"), F.count_distinct(label).alias("n_cell_types")),
-            part.agg(F.count("*").alias("n_cells_silhouette")),
+            lambda: average_silhouette(embeddings, part, batch, "batch_asw"),
+            lambda: graph.graph_connectivity(near, cells, connectivity_key or batch),
+            lambda: kbet(near, cells, batch),
+            lambda: ilisi(near, cells, batch),
+            lambda: average_silhouette(embeddings, part, label, "celltype_asw"),
+            lambda: leiden_agreement(near, cells, label, resolution, clusters),
+            lambda: clisi(near, cells, label),
+            lambda: isolated_label_silhouette(embeddings, part, label, batch),
+            lambda: cells.agg(F.count("*").alias("n_cells"), F.count_distinct(batch).alias("n_batches"), F.count_distinct(label).alias("n_cell_types")),
+            lambda: part.agg(F.count("*").alias("n_cells_silhouette")),
         ]
     )
     counted = [F.col(n).isNotNull().cast("int") for n in (*BATCH_METRICS, *BIO_METRICS)]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import AnnotatedMatrix
+from .dense import dense_rows
 
 
 def diagnose(m: AnnotatedMatrix) -> DataFrame:
@@ -38,16 +39,16 @@ class PearsonModel:
         """(cell_id, gene_id, z) of every cell and gene, clipped.
 
         The default bound is the root of the number of cells of this matrix. The
-        result is dense by its meaning; cells stay partitioned and genes, whose
-        table is small, are broadcast to them.
+        result is dense by its meaning, and made in place: nonzero values are shuffled
+        by cell, and each cell's row is spread out beside the genes, whose table is
+        small by nature and broadcast.
         """
-        depth = library_depth(m)
-        genes = self.statistics.select("gene_id", "p")
-        values = m.counts.groupBy("cell_id", "gene_id").agg(F.sum("value").alias("x"))
-        grid = depth.crossJoin(F.broadcast(genes)).join(values, ["cell_id", "gene_id"], "left")
-        z = self._z(F.coalesce("x", F.lit(0.0)).cast("double"), F.col("depth") * F.col("p"))
+        genes = self.statistics.select("gene_id", "p").withColumn("column", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gene_id")) - 1)
+        rows = dense_rows(m.cells, m.counts, genes, genes.count()).join(library_depth(m), "cell_id")
+        long = rows.select("cell_id", "depth", F.posexplode("row").alias("column", "x")).join(F.broadcast(genes), "column")
+        z = self._z(F.col("x"), F.col("depth") * F.col("p"))
         bound = F.lit(float(self.clip)) if self.clip is not None else F.sqrt(F.lit(m.cells.count()).cast("double"))
-        return grid.select("cell_id", "gene_id", F.greatest(F.least(z, bound), -bound).alias("z"))
+        return long.select("cell_id", "gene_id", F.greatest(F.least(z, bound), -bound).alias("z"))
 
 
 def library_depth(m: AnnotatedMatrix) -> DataFrame:

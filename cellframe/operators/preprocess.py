@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import AnnotatedMatrix, largest_remainder, no_column, ranked_by_hash, ratio
+from .dense import dense_rows
 from .pearson import library_depth
 
 # Nomenclature patterns of uninformative genes, by species.
@@ -176,14 +177,17 @@ def normalize(m: AnnotatedMatrix, target_sum: float | None = 1e4) -> DataFrame:
     )
 
 
-def validate_values(counts: DataFrame, expected: str, strict: bool = False) -> DataFrame:
-    """One row: ok, minimum, maximum, share of integers, over all values.
+def validate_values(counts: DataFrame, expected: str, strict: bool = False, sample_n: int | None = None) -> DataFrame:
+    """One row: ok, minimum, maximum, share of integers, over all values, or over the
+    ``sample_n`` nonzero ones that come first by the hash of cell and gene.
 
     ``counts`` have to be whole and not negative, ``normalized`` values not all
     whole. An empty table is ok. ``strict`` raises where it isn't.
     """
     if expected not in ("counts", "normalized"):
         raise ValueError(f"unknown type of values {expected!r}")
+    if sample_n is not None:
+        counts = counts.where("value != 0").orderBy(F.xxhash64("cell_id", "gene_id"), "cell_id", "gene_id").limit(sample_n)
     x = F.col("value").cast("double")
     whole = F.abs(x - F.round(x)) < 1e-6
     row = counts.agg(
@@ -340,17 +344,6 @@ def principal_components(m: AnnotatedMatrix, values: DataFrame, genes: DataFrame
     return model.transform(centred).select("cell_id", vector_to_array("pc").alias("vec"))
 
 
-def dense_rows(cells: DataFrame, values: DataFrame, column: DataFrame, width: int) -> DataFrame:
-    """(cell_id, row): an array of ``width`` values for every cell, zeros filled in."""
-    pairs = values.join(F.broadcast(column.select("gene_id", "column")), "gene_id").groupBy("cell_id", "column").agg(F.sum("value").alias("value"))
-    maps = pairs.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("column").cast("int"), F.col("value").cast("double")))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    empty = F.array_repeat(F.lit(0.0), width)
-    return cells.select("cell_id").join(maps, "cell_id", "left").select(
-        "cell_id", F.when(F.col("m").isNull(), empty).otherwise(filled).alias("row")
-    )
-
-
 def split_stats(cells: DataFrame, counts: DataFrame, normalized: DataFrame) -> DataFrame:
     """(split, n_cells, nnz_counts, nnz_normalized, library_size_mean, library_size_median) of the three splits.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import AnnotatedMatrix, rounded, settled
@@ -40,6 +41,26 @@ def _r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
 
+# Integrals from 0 to an argument, by the Gauss-Legendre rule on three panels: engines without special functions can do them.
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
+_RULE = ", ".join(f"({(k + (x + 1) / 2) / 3!r}, {w / 6!r})" for k in range(3) for x, w in zip(_NODES.tolist(), _WEIGHTS.tolist(), strict=True))
+
+
+def _two_sided_sql(table: str, keys: str, argument: str, density: str, extra: str = "") -> str:
+    """``p`` (keys, p): 1 less twice the integral of ``density`` in ``u``; 1 where the argument is null."""
+    return f"""rule(x, weight) AS (VALUES {_RULE}),
+args AS (SELECT {keys}{extra}, least(abs({argument}), 12.0) AS top FROM {table}),
+p AS (SELECT {keys}, greatest(1 - 2 * coalesce(sum(weight * top * ({density.replace("{u}", "(x * top)")})), 0), 0) AS p FROM args CROSS JOIN rule GROUP BY {keys})"""
+
+
+def _adjusted_sql(by: str = "") -> str:
+    """``adjusted``: the rows of ``p`` with Benjamini-Hochberg's ``padj``."""
+    part = f"PARTITION BY {by} " if by else ""
+    whole = f"({part.strip()})"
+    return f"""q AS (SELECT *, p * count(*) OVER {whole} / row_number() OVER ({part}ORDER BY p) AS q FROM p),
+adjusted AS (SELECT *, least(min(q) OVER ({part}ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS padj FROM q)"""
+
+
 # ---- differential expression
 
 _GROUPS = ["1-URGENT"], ["2-HIGH", "3-MEDIUM"]
@@ -52,21 +73,42 @@ s AS (SELECT gene_id, sum(value) FILTER (g1) AS s1, sum(value * value) FILTER (g
 m AS (SELECT g.gene_id, n1, n2, coalesce(s1, 0) / n1 AS mean_1, coalesce(s2, 0) / n2 AS mean_2,
   greatest(coalesce(q1, 0) / n1 - pow(coalesce(s1, 0) / n1, 2), 0) AS var_1, greatest(coalesce(q2, 0) / n2 - pow(coalesce(s2, 0) / n2, 2), 0) AS var_2,
   coalesce(e1, 0) / n1 AS pct_1, coalesce(e2, 0) / n2 AS pct_2 FROM genes g LEFT JOIN s USING (gene_id) CROSS JOIN n),
-t AS (SELECT *, var_1 / n1 AS a, var_2 / n2 AS b FROM m)
-SELECT gene_id, {_r("mean_1", "mean_1")}, {_r("mean_2", "mean_2")}, {_r("var_1", "var_1")}, {_r("var_2", "var_2")}, {_r("pct_1", "pct_1")},
-  {_r("pct_2", "pct_2")}, {_r("(mean_1 - mean_2) / ln(2)", "log2fc")}, {_r("(mean_1 - mean_2) / nullif(sqrt(a + b), 0)", "t_stat")},
-  {_r("(a + b) * (a + b) / nullif(a * a / (n1 - 1) + b * b / (n2 - 1), 0)", "df")} FROM t"""
+t AS (SELECT *, var_1 / n1 AS a, var_2 / n2 AS b FROM m)"""
+_T_SQL = """(mean_1 - mean_2) / nullif(sqrt(a + b), 0)"""
+_DF_SQL = """(a + b) * (a + b) / nullif(a * a / nullif(n1 - 1, 0) + b * b / nullif(n2 - 1, 0), 0)"""
 
 
-@query(_STATS_SQL)
+@query(_STATS_SQL + f""" SELECT gene_id, {_r("mean_1", "mean_1")}, {_r("mean_2", "mean_2")}, {_r("var_1", "var_1")}, {_r("var_2", "var_2")}, {_r("pct_1", "pct_1")},
+  {_r("pct_2", "pct_2")}, {_r("(mean_1 - mean_2) / ln(2)", "log2fc")}, {_r(_T_SQL, "t_stat")}, {_r(_DF_SQL, "df")} FROM t""")
 def two_group_deg(spark, d):
     found = deg.two_group_stats(matrix(spark, d), "cell_type", *_GROUPS)
     return _round(found, *[c for c in found.columns if c != "gene_id"])
 
 
-@query()
+_STUDENT = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + {u} * {u} / df))"
+
+
+def _welch_sql(stats: str) -> str:
+    return f"""{stats}, v AS (SELECT *, {_T_SQL} AS t_stat, {_DF_SQL} AS df FROM t),
+{_two_sided_sql("v", "gene_id", "CASE WHEN df > 0 THEN t_stat END", _STUDENT, ", df")}, {_adjusted_sql()}
+SELECT gene_id, {_r("(mean_1 - mean_2) / ln(2)", "log2fc")}, {_r("pct_1", "pct_1")}, {_r("pct_2", "pct_2")}, {_r("p", "pval", 5)}, {_r("padj", "padj", 5)}
+FROM t JOIN adjusted USING (gene_id)"""
+
+
+@query(_welch_sql(_STATS_SQL))
 def two_group_deg_pvalues(spark, d):
-    return deg.two_group_deg(matrix(spark, d), "cell_type", *_GROUPS)
+    found = deg.two_group_deg(matrix(spark, d), "cell_type", *_GROUPS)
+    return _round(_round(found, "log2fc", "pct_1", "pct_2"), "pval", "padj", digits=5)
+
+
+@query(_welch_sql(_STATS_SQL.replace("cell_type = '1-URGENT' AS g1, cell_type IN ('2-HIGH', '3-MEDIUM') AS g2", "cell_id = (SELECT min(cell_id) FROM cells) AS g1, cell_type = '2-HIGH' AND cell_id <> (SELECT min(cell_id) FROM cells) AS g2")))
+def deg_of_one_cell(spark, d):
+    """One cell against a group: its variance isn't known, so that no gene differs."""
+    m = matrix(spark, d)
+    first = m.cells.agg(F.min("cell_id")).first()[0]
+    named = m.cells.withColumn("group", F.when(F.col("cell_id") == first, "first").when(F.col("cell_type") == "2-HIGH", "high"))
+    found = deg.two_group_deg(AnnotatedMatrix(named, m.genes, m.counts), "group", ["first"], ["high"])
+    return _round(_round(found, "log2fc", "pct_1", "pct_2"), "pval", "padj", digits=5)
 
 
 @query(f"""WITH f AS (SELECT p_partkey, p_brand, ((p_partkey * 7919) % 10007 + 1) / 10008.0 AS p FROM part),
@@ -89,11 +131,14 @@ s AS (SELECT cluster, gene_id, avg(x) FILTER (t) AS m_t, avg(x) FILTER (NOT t) A
 _LOGFC = "log2((exp(m_t) - 1 + 1e-9) / (exp(m_r) - 1 + 1e-9))"
 
 
-@query(_NESTED + f""",
+_RANK_SUMS = """,
 by_value AS (SELECT cluster, gene_id, x, count(*) AS k, count(*) FILTER (t) AS k_t FROM dense GROUP BY ALL),
 ranks AS (SELECT *, sum(k) OVER (PARTITION BY cluster, gene_id ORDER BY x) - (k - 1) / 2.0 AS r FROM by_value),
-sums AS (SELECT cluster, gene_id, sum(r * k_t) AS rank_sum FROM ranks GROUP BY ALL)
-SELECT cluster, gene_id, {_r(_LOGFC, "logfc")}, {_r("(rank_sum - n_t * (n_t + n_r + 1) / 2.0) / sqrt(n_t * n_r * (n_t + n_r + 1) / 12.0)", "statistic")},
+sums AS (SELECT cluster, gene_id, sum(r * k_t) AS rank_sum FROM ranks GROUP BY ALL)"""
+_RANK_Z = "(rank_sum - n_t * (n_t + n_r + 1) / 2.0) / sqrt(n_t * n_r * (n_t + n_r + 1) / 12.0)"
+
+
+@query(_NESTED + _RANK_SUMS + f""" SELECT cluster, gene_id, {_r(_LOGFC, "logfc")}, {_r(_RANK_Z, "statistic")},
   {_r("pct_target", "pct_target")}, {_r("pct_reference", "pct_reference")} FROM sums JOIN s USING (cluster, gene_id) JOIN sizes USING (cluster)""")
 def nested_deg_wilcoxon(spark, d):
     found = deg.nested_deg_stats(matrix(spark, d, coarse=True), "cell_type", "batch", "F", "O")
@@ -108,9 +153,13 @@ def nested_deg_t_test(spark, d):
     return _round(_round(found.drop("pct_target", "pct_reference"), "logfc", "statistic"), "df", digits=4)
 
 
-@query()
+@query(_NESTED + _RANK_SUMS + f""", v AS (SELECT cluster, gene_id, {_RANK_Z} AS z FROM sums JOIN sizes USING (cluster)),
+{_two_sided_sql("v", "cluster, gene_id", "z", "exp(-{u} * {u} / 2) / sqrt(2 * pi())")}, {_adjusted_sql("cluster")}
+SELECT cluster, gene_id, {_r(_LOGFC, "logfc")}, {_r("padj", "pvals_adj", 5)}, {_r("pct_target", "pct_target")}, {_r("pct_reference", "pct_reference")}
+FROM adjusted JOIN s USING (cluster, gene_id)""")
 def nested_deg(spark, d):
-    return deg.nested_deg(matrix(spark, d, coarse=True), "cell_type", "batch", "F", "O")
+    found = deg.nested_deg(matrix(spark, d, coarse=True), "cell_type", "batch", "F", "O")
+    return _round(_round(found, "logfc", "pct_target", "pct_reference"), "pvals_adj", digits=5)
 
 
 @query(f"""WITH {CELLS}, {COARSE}, n AS (SELECT cell_type AS "group", count(*) AS n FROM cells GROUP BY 1),
@@ -201,9 +250,15 @@ def pearson_fit(spark, d):
     return _round(_round(found, "p", digits=9), "mean_counts", "mean_expected_mu", "expected_variance", "residual_variance")
 
 
-@query(_RESIDUALS + f""" SELECT cell_id, gene_id, {_r("greatest(least(z, 5.0), -5.0)", "z", 5)} FROM z""")
+@query(_RESIDUALS + f""", c AS (SELECT cell_id, greatest(least(z, 5.0), -5.0) AS z, CAST(substr(gene_id, 7) AS INTEGER) AS k FROM z)
+SELECT cell_id, count(*) AS n, {_r("sum(z)", "total", 5)}, {_r("sum(z * z)", "squares", 5)}, {_r("sum(z * k) / 100", "weighted", 5)} FROM c GROUP BY cell_id""")
 def pearson_transform(spark, d):
-    return _round(pearson.fit_transform(matrix(spark, d, coarse=True), clip=5.0), "z", digits=5)
+    """A row a cell; the gene's number weighs each of its residuals, so that none may be wrong or misplaced."""
+    z, k = F.col("z"), F.substring("gene_id", 7, 2).cast("int")
+    found = pearson.fit_transform(matrix(spark, d, coarse=True), clip=5.0).groupBy("cell_id").agg(
+        F.count("*").alias("n"), F.sum(z).alias("total"), F.sum(z * z).alias("squares"), (F.sum(z * k) / 100).alias("weighted")
+    )
+    return _round(found, "total", "squares", "weighted", digits=5)
 
 
 # ---- plot tables
@@ -299,9 +354,17 @@ def density_3d(spark, d):
     return _round(views.weighted_density(points(spark, d), ["x", "y", "z"], "w", n=6), "z", digits=5)
 
 
-@query()
+def _node_sql(c: str, n: int) -> str:
+    """The node of a grid at or below a point, as the grid's own sums have it."""
+    node = lambda k: f"CASE WHEN {k} >= {n - 1} THEN u{c} ELSE l{c} + {k} * ((u{c} - l{c}) / {n - 1}) END"
+    guess = f"floor(({c} - l{c}) / ((u{c} - l{c}) / {n - 1}))"
+    return f"""least(greatest({guess} + CASE WHEN {guess} < {n - 1} AND {node(f"({guess} + 1)")} <= {c} THEN 1 WHEN {node(guess)} > {c} THEN -1 ELSE 0 END, 0), {n - 1})"""
+
+
+@query(_density_sql("xy", 50).rsplit("SELECT", 1)[0] + f"""SELECT cell_id, {_r("z", "density", 5)} FROM
+(SELECT cell_id, CAST({_node_sql("x", 50)} AS BIGINT) AS i, CAST({_node_sql("y", 50)} AS BIGINT) AS j FROM points CROSS JOIN e) JOIN (SELECT i, j, z FROM grid) USING (i, j)""")
 def cell_density(spark, d):
-    return views.cell_density(points(spark, d), ["x", "y"], "w", n=50)
+    return _round(views.cell_density(points(spark, d), ["x", "y"], "w", n=50).select("cell_id", "density"), "density", digits=5)
 
 
 # ---- preprocessing
@@ -453,10 +516,37 @@ def variable_genes_top(spark, d):
     return preprocess.variable_genes(matrix(spark, d), "batch", top=50).where("highly_variable").select("gene_id")
 
 
-@query()
+def _components_sql(k: int) -> str:
+    """Eigenvectors by squaring the covariance again and again, and taking each found one out of it."""
+    parts = []
+    for i in range(k):
+        source = "cov" if i == 0 else f"c{i}"
+        parts.append(f"""p{i} AS (SELECT 0 AS step, m AS a FROM {source} UNION ALL SELECT step + 1,
+  list_transform(a, lambda r: list_transform(a, lambda c: list_dot_product(r, c) / list_sum(list_transform(a, lambda t: list_dot_product(t, t))))) FROM p{i} WHERE step < 18),
+g{i} AS (SELECT list_transform(a, lambda r: [sqrt(list_dot_product(r, r))] || r) AS rows FROM p{i} WHERE step = 18),
+b{i} AS (SELECT list_transform(list_max(rows)[2:], lambda x: x / list_max(rows)[1]) AS v FROM g{i}),
+w{i} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM b{i} CROSS JOIN {source}),
+c{i + 1} AS (SELECT list_transform(m, lambda r, n: list_transform(r, lambda x, o: x - l * v[n] * v[o])) AS m FROM {source} CROSS JOIN w{i})""")
+    return ",\n".join(parts)
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {COARSE}, {_DEPTH}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells),
+g AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) AS k FROM genes),
+y AS (SELECT cell_id, k, ln(1 + value * (10000.0 / CASE WHEN depth = 0 THEN 1 ELSE depth END)) AS y FROM counts JOIN depth USING (cell_id) JOIN g USING (gene_id)),
+mean AS (SELECT k, coalesce(sum(y), 0) / any_value(n) AS m FROM g LEFT JOIN y USING (k) CROSS JOIN n GROUP BY k),
+prod AS (SELECT a.k AS i, b.k AS j, sum(a.y * b.y) AS s FROM y a JOIN y b USING (cell_id) GROUP BY 1, 2),
+entries AS (SELECT a.k AS i, b.k AS j, (coalesce(s, 0) - n * a.m * b.m) / (n - 1) AS x FROM mean a CROSS JOIN mean b CROSS JOIN n LEFT JOIN prod ON i = a.k AND j = b.k),
+cov AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(x ORDER BY j) AS r FROM entries GROUP BY i)),
+{_components_sql(5)},
+centre AS (SELECT list(m ORDER BY k) AS c FROM mean),
+dense AS (SELECT c.cell_id, k, coalesce(y, 0) AS x FROM cells c CROSS JOIN g LEFT JOIN y USING (cell_id, k)),
+x AS (SELECT cell_id, list(x ORDER BY k) AS x FROM dense GROUP BY cell_id)
+SELECT cell_id, {", ".join(_r(f"abs(list_dot_product(x, w{i}.v) - list_dot_product(c, w{i}.v))", f"c{i}", 4) for i in range(5))} FROM x CROSS JOIN centre {" ".join(f"CROSS JOIN w{i}" for i in range(5))}""")
 def principal_components(spark, d):
+    """Scores without their sign, which is anyone's choice."""
     m = matrix(spark, d, coarse=True)
-    return preprocess.principal_components(m, preprocess.normalize(m), m.genes, 5)
+    found = preprocess.principal_components(m, preprocess.normalize(m), m.genes, 5)
+    return found.select("cell_id", *[rounded(F.abs(F.get("vec", F.lit(k))), 4).alias(f"c{k}") for k in range(5)])
 
 
 @query(f"""WITH {CELLS}, {FINE}, {_DEPTH},
@@ -504,15 +594,26 @@ def label_index(spark, d):
     return encoding.label_index(cells(spark, d), "cell_type")
 
 
-@query(f"""WITH {CELLS}, {COARSE}, {_DEPTH}, l AS (SELECT cell_type, row_number() OVER (ORDER BY cell_type) - 1 AS label FROM cells GROUP BY 1)
-SELECT cell_id, (SELECT CAST(count(*) AS INTEGER) FROM genes) AS n_genes, depth AS total, 3 AS n_cond, label FROM cells JOIN depth USING (cell_id) JOIN l USING (cell_type)""")
+@query(f"""WITH {CELLS}, {COARSE}, {_DEPTH}, l AS (SELECT cell_type, row_number() OVER (ORDER BY cell_type) - 1 AS label FROM cells GROUP BY 1),
+g AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS k FROM genes), w AS (SELECT cell_id, sum(value * k) AS weighted, sum(value * k * k) AS twice FROM counts JOIN g USING (gene_id) GROUP BY 1),
+b AS (SELECT batch, row_number() OVER (ORDER BY batch) AS place FROM cells GROUP BY 1)
+SELECT cell_id, (SELECT CAST(count(*) AS INTEGER) FROM genes) AS n_genes, depth AS total, coalesce(weighted, 0) AS weighted, coalesce(twice, 0) AS twice, 3 AS n_cond, place, label
+FROM cells JOIN depth USING (cell_id) JOIN l USING (cell_type) JOIN b USING (batch) LEFT JOIN w USING (cell_id)""")
 def dataset_rows(spark, d):
+    """Sums weighed by place, and the place of the batch, so that nothing may stand elsewhere."""
     m = matrix(spark, d, coarse=True)
     genes = m.genes.withColumn("column", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gene_id")) - 1)
     schema = encoding.build_schema(m.cells, [], encoding.parse_categorical("batch:onehot"))
     rows = datasets.dataset_rows(m, genes, schema, "cell_type")
-    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return rows.select("cell_id", F.size("counts").alias("n_genes"), total.alias("total"), F.size("condition").alias("n_cond"), "label")
+
+    def total(weigh) -> Column:
+        return F.aggregate(F.transform("counts", weigh), F.lit(0.0), lambda a, x: a + x)
+
+    return rows.select(
+        "cell_id", F.size("counts").alias("n_genes"), total(lambda x, i: x.cast("double")).alias("total"), total(lambda x, i: x.cast("double") * i).alias("weighted"),
+        total(lambda x, i: x.cast("double") * i * i).alias("twice"), F.size("condition").alias("n_cond"),
+        F.array_position("condition", F.lit(1.0).cast("float")).alias("place"), "label",
+    )
 
 
 @query(f"WITH {CELLS} SELECT CAST(floor(cell_pos / 4000) AS INTEGER) AS chunk, count(*) AS n_cells FROM cells GROUP BY 1")
@@ -602,10 +703,13 @@ def batch_asw(spark, d):
     return _round(metrics.average_silhouette(v.select("cell_id", "vec"), v, "batch", "batch_asw"), "batch_asw")
 
 
-@query(_silhouette_sql("cell_type IN ('1', '4') OR cell_id % 3 <> 0").replace("FROM part a, part b WHERE", "FROM part a, part b WHERE a.cell_type IN (SELECT cell_type FROM part GROUP BY 1 HAVING count(DISTINCT batch) < 3) AND b.cell_type IN (SELECT cell_type FROM part GROUP BY 1 HAVING count(DISTINCT batch) < 3) AND")
-       + f""" SELECT {_r("avg(silhouette)", "isolated_label_asw")} FROM sil""")
+_LACKING = "CASE WHEN cell_type NOT IN ('1', '4') AND batch = '0' THEN '1' ELSE batch END"
+
+
+@query(_silhouette_sql(f"cell_type IN (SELECT cell_type FROM latent GROUP BY 1 HAVING count(DISTINCT {_LACKING}) < 3)") + f""" SELECT {_r("avg(silhouette)", "isolated_label_asw")} FROM sil""")
 def isolated_label_asw(spark, d):
-    v = latent(spark, d).where("cell_type in ('1', '4') or cell_id % 3 != 0")
+    """All labels but two are without one of the batches, whose cells count for another."""
+    v = latent(spark, d).withColumn("batch", F.expr(_LACKING))
     return _round(metrics.isolated_label_silhouette(v.select("cell_id", "vec"), v, "cell_type", "batch"), "isolated_label_asw")
 
 
@@ -662,19 +766,35 @@ def distance_agreement(spark, d):
     return _round(metrics.distance_agreement(one, two), "corr_weighted", "corr_pca", "rank_pca", digits=5)
 
 
-@query()
+def _lisi_sql(label: str, k: int = 10) -> str:
+    """The widths are bisected in a recursion, a step a row, as far as each cell needs."""
+    wanted = f"ln({max(k // 3, 1)}.0)"
+    return f"""{_KNN.replace("rank <= 10", f"rank <= {k}")}, near AS (SELECT k.cell_id, list(dist ORDER BY rank) AS d, list({label} ORDER BY rank) AS l FROM knn k JOIN latent n ON n.cell_id = nbr_id GROUP BY 1),
+steps AS (SELECT cell_id, d, l, 0 AS step, CAST(1 AS DOUBLE) AS beta, CAST('-inf' AS DOUBLE) AS low, CAST('inf' AS DOUBLE) AS high FROM near
+  UNION ALL SELECT cell_id, d, l, step + 1,
+    CASE WHEN gap > 0 THEN CASE WHEN isinf(high) THEN beta * 2 ELSE (beta + high) / 2 END ELSE CASE WHEN isinf(low) THEN beta / 2 ELSE (beta + low) / 2 END END,
+    CASE WHEN gap > 0 THEN beta ELSE low END, CASE WHEN gap > 0 THEN high ELSE beta END
+  FROM (SELECT *, ln(list_sum(p)) + beta * list_dot_product(d, p) / list_sum(p) - {wanted} AS gap FROM (SELECT *, list_transform(d, lambda x: exp(-x * beta)) AS p FROM steps))
+  WHERE abs(gap) >= 1e-5 AND step < 49),
+last AS (SELECT cell_id, l, list_transform(d, lambda x: exp(-x * beta)) AS p FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY step DESC) AS r FROM steps) WHERE r = 1),
+shares AS (SELECT cell_id, label, sum(p) AS s FROM (SELECT cell_id, unnest(l) AS label, unnest(list_transform(p, lambda x: x / list_sum(p))) AS p FROM last) GROUP BY 1, 2),
+lisi AS (SELECT cell_id, 1 / sum(s * s) AS lisi FROM shares GROUP BY 1)"""
+
+
+@query(_lisi_sql("cell_type") + f""" SELECT cell_id, {_r("lisi", "lisi", 5)} FROM lisi""")
 def lisi(spark, d):
-    return metrics.lisi(_near(spark, d), latent(spark, d), "cell_type")
+    return _round(metrics.lisi(_near(spark, d), latent(spark, d), "cell_type"), "lisi", digits=5)
 
 
-@query()
+@query(_lisi_sql("batch") + f""" SELECT {_r("greatest(least((median(lisi) - 1) / ((SELECT count(DISTINCT batch) FROM latent) - 1), 1), 0)", "ilisi", 5)} FROM lisi""")
 def ilisi(spark, d):
-    return metrics.ilisi(_near(spark, d), latent(spark, d), "batch")
+    return _round(metrics.ilisi(_near(spark, d), latent(spark, d), "batch"), "ilisi", digits=5)
 
 
-@query()
+@query(_lisi_sql("cell_type") + f""", n AS (SELECT count(DISTINCT cell_type) AS n FROM latent)
+SELECT {_r("greatest(least((n - m) / (n - 1), 1), 0)", "clisi", 5)} FROM (SELECT median(lisi) AS m FROM lisi) CROSS JOIN n""")
 def clisi(spark, d):
-    return metrics.clisi(_near(spark, d), latent(spark, d), "cell_type")
+    return _round(metrics.clisi(_near(spark, d), latent(spark, d), "cell_type"), "clisi", digits=5)
 
 
 @query()
@@ -699,6 +819,82 @@ def scib_metrics(spark, d):
     return metrics.scib_metrics(v.select("cell_id", "vec"), v, n_neighbors=15)
 
 
+_GIVEN = "(cell_id * 7919) % 11"
+
+
+def _given(v: DataFrame) -> DataFrame:
+    return v.select("cell_id", F.expr(_GIVEN).cast("string").alias("cluster"))
+
+
+def _of(name: str) -> str:
+    """A registered query's SQL, over 15 neighbours."""
+    return f"({ORACLES[name].replace('rank <= 10', 'rank <= 15').replace('10 * f', '15 * f').replace('ln(3.0)', 'ln(5.0)')}) {name}_"
+
+
+def _report_sql(names: list[str]) -> str:
+    agree = f"""(WITH {LATENT}, pairs AS (SELECT CAST({_GIVEN} AS VARCHAR) AS a, cell_type AS b FROM latent), {_AGREE}
+SELECT {_r("greatest((2 * ln(s) - la / s - lb / s - (ln(s) - lx / s)) / ((2 * ln(s) - la / s - lb / s) / 2), 0)", "nmi", 5)},
+  {_r("(cx - ca * cb / (s * (s - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (s * (s - 1) / 2))", "ari", 5)}, (SELECT count(*) FROM x) AS n_leiden_clusters FROM q) agree_"""
+    sizes = f"(WITH {LATENT} SELECT count(*) AS n_cells, count(DISTINCT batch) AS n_batches, count(DISTINCT cell_type) AS n_cell_types FROM latent) sizes_"
+    return " CROSS JOIN ".join([*[_of(n) for n in names], agree, sizes])
+
+
+_REPORT = ["batch_asw", "celltype_asw", "graph_connectivity"]
+
+
+@query(f"SELECT {', '.join(_r(n, n, 4) for n in [*_REPORT, 'nmi', 'ari'])}, n_leiden_clusters, n_cells, n_batches, n_cell_types FROM {_report_sql(_REPORT)}")
+def integration_report_given(spark, d):
+    """The report over a given partition in place of Leiden's."""
+    v = latent(spark, d)
+    found = metrics.integration_report(v.select("cell_id", "vec"), v, "batch", "cell_type", 15, clusters=_given(v))
+    return _round(found, *_REPORT, "nmi", "ari", digits=4)
+
+
+_BATCH_SCORE, _BIO_SCORE = "(batch_asw + graph_connectivity + kbet + ilisi) / 4", "(celltype_asw + nmi + ari + clisi) / 4"
+
+
+@query(f"""SELECT {', '.join(_r(n, n, 4) for n in [*_REPORT, 'kbet', 'ilisi', 'clisi', 'nmi', 'ari'])}, CAST(NULL AS DOUBLE) AS isolated_label_asw,
+  n_leiden_clusters, n_cells, n_batches, n_cell_types, n_cells AS n_cells_silhouette, 4 AS n_metrics_batch, 4 AS n_metrics_bio, {_r(_BATCH_SCORE, "batch_score", 4)}, {_r(_BIO_SCORE, "bio_score", 4)},
+  {_r(f"0.4 * ({_BATCH_SCORE}) + 0.6 * ({_BIO_SCORE})", "scib_overall", 4)} FROM {_report_sql([*_REPORT, "kbet", "ilisi", "clisi"])}""")
+def scib_metrics_given(spark, d):
+    """All metrics over a given partition in place of Leiden's. Every batch has every label, so that none is isolated."""
+    v = latent(spark, d)
+    found = metrics.scib_metrics(v.select("cell_id", "vec"), v, n_neighbors=15, clusters=_given(v))
+    return _round(found, *metrics.BATCH_METRICS, *metrics.BIO_METRICS, "batch_score", "bio_score", "scib_overall", digits=4)
+
+
+@query(f"WITH {LATENT} SELECT count(*) AS n_cells, true AS named_by_size, true AS connected, true AS better_than_labels FROM latent")
+def leiden_soundness(spark, d):
+    """What a Leiden partition promises: every cell once, names by size, connected communities, more modularity than the given labels."""
+    v, edges = latent(spark, d), graph.knn_edges(_near(spark, d))
+    found = settled(graph.leiden(v, edges), "leiden")
+    sizes = found.groupBy(F.col("cluster").cast("int").alias("k")).agg(F.count("*").alias("n"))
+    falling = F.coalesce(F.col("n") <= F.lag("n").over(Window.partitionBy(F.lit(0)).orderBy("k")), F.lit(True))
+    in_order = sizes.select(falling.alias("ok"), "k").agg((F.bool_and("ok") & (F.max("k") + 1 == F.count("*"))).alias("named_by_size"))
+    a, b = found.toDF("src", "ca"), found.toDF("dst", "cb")
+    inner = edges.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst")
+    parts = graph.connected_components(found, inner).join(found, "cell_id").groupBy("cluster").agg(F.count_distinct("component").alias("c"))
+    labels = v.select("cell_id", F.col("cell_type").alias("cluster"))
+    gain = graph.modularity(edges, found).crossJoin(graph.modularity(edges, labels).toDF("m")).select((F.col("modularity") > F.col("m")).alias("better_than_labels"))
+    whole = found.agg((F.count_distinct("cell_id") * (F.count("*") == F.count_distinct("cell_id")).cast("long")).alias("n_cells"))
+    return whole.crossJoin(in_order).crossJoin(parts.agg((F.max("c") == 1).alias("connected"))).crossJoin(gain)
+
+
+@query(f"WITH {LATENT} SELECT count(*) AS n_cells, 2 AS n_dims, true AS finite, true AS neighbours_are_close FROM latent")
+def umap_soundness(spark, d):
+    """A layout places every cell, and neighbours nearer to one another than cells are that follow by id."""
+    near = _near(spark, d)
+    found = settled(graph.umap_layout(near, epochs=50), "layout")
+    a, b = found.toDF("cell_id", "va"), found.toDF("nbr_id", "vb")
+    gap = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    close = near.join(a, "cell_id").join(b, "nbr_id").agg(F.avg(gap).alias("near"))
+    pairs = found.select(F.col("vec").alias("va"), F.lead("vec").over(Window.partitionBy(F.lit(0)).orderBy("cell_id")).alias("vb"))
+    spread = pairs.where("vb is not null").agg(F.avg(gap).alias("far"))
+    finite = F.bool_and(F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)))
+    sizes = found.agg(F.count_distinct("cell_id").alias("n_cells"), F.max(F.size("vec")).alias("n_dims"), finite.alias("finite"))
+    return sizes.crossJoin(close.crossJoin(spread).select((F.col("near") < 0.9 * F.col("far")).alias("neighbours_are_close")))
+
+
 @query()
 def scgraph_score(spark, d):
     m = matrix(spark, d, coarse=True)

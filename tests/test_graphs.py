@@ -97,8 +97,6 @@ def test_leiden_finds_the_blobs(blobs):
     assert sorted(again) == sorted(graph.leiden(cells, edges).collect())
     with pytest.raises(ValueError):
         graph.leiden(cells, edges, flavor="other")
-    with pytest.raises(ValueError):
-        graph.leiden(cells, edges, most_edges=3)
 
 
 def test_agreement_of_equal_and_constant_labels(spark):
@@ -140,3 +138,35 @@ def test_layout_places_every_cell(blobs):
     centres = np.array([y[40 * c : 40 * c + 40].mean(0) for c in range(3)])
     spread = np.mean([y[40 * c : 40 * c + 40].std() for c in range(3)])
     assert y.shape == (120, 2) and min(np.linalg.norm(centres[a] - centres[b]) for a, b in ((0, 1), (0, 2), (1, 2))) > spread
+
+
+def test_lists_find_nearly_all_neighbours(spark, monkeypatch):
+    """Blobs, one of them a third of all rows and so a hot list, and scattered cells."""
+    monkeypatch.setattr(graph, "LIST_SHARD", 100)
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(700, 16)) * 0.3 + 2, *[rng.normal(size=(80, 16)) * 0.5 + rng.normal(size=16) * 3 for _ in range(10)], rng.normal(size=(600, 16)) * 2])
+    cells = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cell_id long, vec array<double>")
+    for metric in ("cosine", "euclidean"):
+        exact = {(r.cell_id, r.nbr_id): r.dist for r in graph.knn(cells, 10, metric, method="exact").collect()}
+        found = {(r.cell_id, r.nbr_id): r.dist for r in graph.knn(cells, 10, metric, method="approximate", probes=12).collect()}
+        assert len(exact) == len(found) == 10 * len(x)
+        assert len(set(exact) & set(found)) / len(exact) > 0.95
+        assert all(abs(exact[k] - found[k]) < 1e-6 for k in set(exact) & set(found))
+
+
+def test_large_graphs_are_made_coarser(spark, blobs):
+    x, cells = blobs
+    edges = graph.knn_edges(graph.knn(cells.select("cell_id", "vec"), 8))
+    alone = cells.select("cell_id").union(spark.createDataFrame([(900,), (901,)], "cell_id long"))
+    whole = {r.cell_id: r.cluster for r in graph.leiden(alone, edges).collect()}
+    for most in (200, 20):
+        found = {r.cell_id: r.cluster for r in graph.leiden(alone, edges, most_edges=most).collect()}
+        assert set(found) == set(whole) and found[900] != found[901]
+        # no community spans two blobs
+        assert all(len({i // 40 for i in range(120) if found[i] == c}) == 1 for c in {found[i] for i in range(120)})
+        table = spark.createDataFrame(list(found.items()), "cell_id long, cluster string")
+        best = spark.createDataFrame(list(whole.items()), "cell_id long, cluster string")
+        assert graph.modularity(edges, table).first()[0] > 0.9 * graph.modularity(edges, best).first()[0]
+    assert graph.leiden(alone, edges.where("false")).select("cluster").distinct().count() == 122
+    table = spark.createDataFrame([(str(k),) for k in (10, 2, 0, 1)], "cluster string")
+    assert graph.cluster_categories(table) == ["0", "1", "2", "10"] and graph.leiden_parameters(0.5)["params"]["resolution"] == 0.5
