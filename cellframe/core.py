@@ -119,3 +119,62 @@ def largest_remainder(strata: DataFrame, size: Column, total: Column, name: str
     return with_floor.withColumn(name, (F.col("_floor") + (order <= F.col("_left")).cast("long")).cast("long")).drop(
         "_share", "_floor", "_left"
     )
+
+
+#: Of percentiles that only bracket the exact ones.
+_ACCURACY = 10_000
+
+
+def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(by, n, one column for each of ``ranks``): exact order statistics of every group, none of which is sorted.
+
+    ``ranks`` gives for each name the rank, from 1, as an expression in the group's
+    number ``n`` of values that aren't null, and about which share of them it is. A
+    sketch brackets each one; what lies below a bracket is counted, and only the few
+    values inside are ordered. Where a sketch misses, its group's whole range is the bracket.
+    """
+    x = F.col(value).cast("double")
+    keyed = rows.select(*by, x.alias("x")).where("x is not null and not isnan(x)")
+    names = list(ranks)
+    ends = []
+    for name in names:
+        share = ranks[name][1]
+        for side, p in (("low", max(share - 3 / _ACCURACY, 0.0)), ("high", min(share + 3 / _ACCURACY, 1.0))):
+            ends.append(F.percentile_approx("x", p, _ACCURACY).alias(f"{side}_{name}"))
+    groups = keyed.groupBy(*by).agg(F.count("*").alias("n"), *ends)
+    groups = groups.withColumns({f"rank_{name}": ranks[name][0].cast("long") for name in names})
+    on = [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by]
+    both = keyed.alias("k").join(F.broadcast(groups.alias("g")), on) if by else keyed.alias("k").crossJoin(F.broadcast(groups.alias("g")))
+    counts = both.groupBy(*[F.col(f"g.{c}").alias(c) for c in by]).agg(
+        *[F.count(F.when(F.col("x") < F.col(f"low_{name}"), 1)).alias(f"under_{name}") for name in names],
+        *[F.count(F.when(F.col("x") <= F.col(f"high_{name}"), 1)).alias(f"upto_{name}") for name in names],
+    )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    known = groups.alias("a").join(counts.alias("b"), same) if by else groups.alias("a").crossJoin(counts.alias("b"))
+    whole = float("inf")
+    stacked = []
+    for name in names:
+        hit = (F.col(f"under_{name}") < F.col(f"rank_{name}")) & (F.col(f"rank_{name}") <= F.col(f"upto_{name}"))
+        stacked.append(
+            F.struct(
+                F.lit(name).alias("name"), F.col(f"rank_{name}").alias("rank"), F.when(hit, F.col(f"low_{name}")).otherwise(-whole).alias("low"),
+                F.when(hit, F.col(f"high_{name}")).otherwise(whole).alias("high"), F.when(hit, F.col(f"under_{name}")).otherwise(0).alias("under"),
+            )
+        )
+    brackets = settled(known.select(*[F.col(f"a.{c}").alias(c) for c in by], "n", F.explode(F.array(*stacked)).alias("s")).select(*by, "n", "s.*"), "brackets")
+    inside = keyed.alias("k").join(F.broadcast(brackets.alias("g")), [*on, F.col("x") >= F.col("low"), F.col("x") <= F.col("high")])
+    few = inside.groupBy(*[F.col(f"g.{c}").alias(c) for c in by], "n", "name", "rank", "under", "x").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "name").orderBy("x")) + F.col("under")
+    found = few.withColumn("upto", upto).where("upto >= rank").groupBy(*by, "n").pivot("name", names).agg(F.min("x"))
+    return found
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, one column for each of ``shares``): exact percentiles, linear between the two nearest values."""
+    ranks = {}
+    for name, p in shares.items():
+        place = (F.col("n") - 1) * F.lit(float(p))
+        ranks[f"{name}_low"], ranks[f"{name}_high"] = (F.floor(place) + 1, p), (F.ceil(place) + 1, p)
+    found = order_statistics(rows, by, value, ranks)
+    between = {name: (F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p))) for name, p in shares.items()}
+    return found.select(*by, "n", *[(F.col(f"{k}_low") + w * (F.col(f"{k}_high") - F.col(f"{k}_low"))).alias(k) for k, w in between.items()])

@@ -85,8 +85,8 @@ def nested_deg_stats(
 
     ``wilcoxon``: ranks are taken among the nonzero values alone. Zeros are one tied
     block below them (values aren't negative), so nothing is made dense. Ranks of one
-    gene in one cluster are a window; a value's tied ranks are averaged by value
-    counts, so the window runs over distinct values, not over cells.
+    gene in one cluster come from windows over ranges of values; a value's tied ranks are
+    averaged by value counts, so the windows run over distinct values, not over cells.
     """
     if method not in ("wilcoxon", "t-test"):
         raise ValueError(f"unknown method {method!r}")
@@ -112,9 +112,17 @@ def nested_deg_stats(
         freedom = ratio((v_t + v_r) ** 2, ratio(v_t**2, F.col("n_t") - 1) + ratio(v_r**2, F.col("n_r") - 1))
     else:
         by_value = values.groupBy(*keys, x.alias("x")).agg(F.count("*").alias("c"), F.count(F.when(t, 1)).alias("c_t"))
-        below = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        # values are ranked within ranges (64 an octave) behind the counts of lower ranges, so that no
+        # gene's distinct values have to meet in one task
+        place = F.floor(F.log2(F.abs("x")) * 64)
+        by_value = by_value.withColumn("range", F.when(F.col("x") < 0, -place - 200_000).otherwise(place))
+        lower = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = by_value.groupBy(*keys, "range").agg(F.sum("c").alias("s"))
+        ranges = ranges.withColumn("before", F.coalesce(F.sum("s").over(lower), F.lit(0))).drop("s")
+        below = Window.partitionBy(*keys, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
         # rank among nonzeros, tied ranks averaged; the zero block is added per gene below
-        by_value = by_value.withColumn("r", F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2.0)
+        rank = F.col("before") + F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2.0
+        by_value = by_value.join(ranges, [*keys, "range"]).withColumn("r", rank)
         ranks = by_value.groupBy(*keys).agg(
             F.sum(F.col("r") * F.col("c_t")).alias("r_t"),
             F.sum(F.col("c").cast("double") ** 3 - F.col("c")).alias("ties"),

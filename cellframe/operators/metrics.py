@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import AnnotatedMatrix, ratio, settled
+from ..core import AnnotatedMatrix, order_statistics, ratio, settled
 from ..functions.special import chi2_ppf
 from . import graph
 from .preprocess import normalize, principal_components, subsample, variable_genes
@@ -277,11 +277,18 @@ def scib_metrics(
 def trimmed_centroids(vectors: DataFrame, cells: DataFrame, label: str, trim: float = 0.05) -> DataFrame:
     """(label, d, x): for each dimension the mean without the ``floor(trim * n)`` least and greatest values."""
     of = cells.select("cell_id", F.col(label).alias("label")).where("label is not null")
-    long = vectors.join(of, "cell_id").select("label", "cell_id", F.posexplode("vec").alias("d", "x"))
-    w = Window.partitionBy("label", "d")
-    cut = F.floor(F.count("*").over(w) * F.lit(trim))
-    ranked = long.withColumn("r", F.row_number().over(w.orderBy("x", "cell_id"))).withColumn("cut", cut).withColumn("n", F.count("*").over(w))
-    return ranked.where("r > cut and r <= n - cut").groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    long = vectors.join(of, "cell_id").select("label", F.posexplode("vec").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    cut = F.floor(F.col("n") * F.lit(trim))
+    edges = order_statistics(long, ["label", "d"], "x", {"low": (cut + 1, trim), "high": (F.col("n") - cut, 1 - trim)})
+    edges = F.broadcast(edges.withColumn("cut", cut).withColumnRenamed("label", "of").withColumnRenamed("d", "at"))  # a row a label and dimension
+    both = long.join(edges, (F.col("label") == F.col("of")) & (F.col("d") == F.col("at")))
+    x, low, high = F.col("x"), F.col("low"), F.col("high")
+    sums = both.groupBy("label", "d", "n", "cut", "low", "high").agg(
+        F.sum(F.when((x > low) & (x < high), x).otherwise(0.0)).alias("inner"), F.count(F.when(x <= low, 1)).alias("upto"), F.count(F.when(x < high, 1)).alias("under")
+    )
+    # of the values equal to an edge, as many as aren't cut
+    whole = F.col("inner") + low * (F.col("upto") - F.col("cut")) + high * (F.col("n") - F.col("cut") - F.col("under"))
+    return sums.select("label", "d", F.when(low == high, low).otherwise(ratio(whole, F.col("n") - 2 * F.col("cut"))).alias("x"))
 
 
 def centroid_distances(centroids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import AnnotatedMatrix, ratio
+from ..core import AnnotatedMatrix, percentiles, ratio
 
 
 def group_stats(m: AnnotatedMatrix, by: str, genes: list[str] | None = None) -> DataFrame:
@@ -168,12 +168,15 @@ def centroids(points: DataFrame) -> DataFrame:
 
 def silverman(points: DataFrame, columns: list[str]) -> DataFrame:
     """One row: ``0.9 min(sd, IQR / 1.34) n^(-1/5)`` of each column (null for n < 2)."""
-    parts = []
+    out = None
     for c in columns:
         x = F.col(c).cast("double")
-        spread = F.least(F.stddev_samp(x), (F.percentile(x, 0.75) - F.percentile(x, 0.25)) / 1.34)
-        parts.append((0.9 * spread * F.pow(F.count(x).cast("double"), F.lit(-0.2))).alias(c))
-    return points.agg(*parts)
+        sd = points.agg(F.stddev_samp(x).alias("sd"), F.count(x).cast("double").alias("size"))
+        quartiles = percentiles(points, [], c, {"low": 0.25, "high": 0.75})
+        spread = F.least(F.col("sd"), (F.col("high") - F.col("low")) / 1.34)
+        row = sd.join(quartiles, F.lit(True), "left").select((0.9 * spread * F.pow("size", F.lit(-0.2))).alias(c))
+        out = row if out is None else out.crossJoin(row)
+    return out
 
 
 def _grid(points: DataFrame, axes: list[str], adjust: float, n: int, limits: list[tuple[float, float]] | None):

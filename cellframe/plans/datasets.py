@@ -15,6 +15,10 @@ from ..operators.pearson import library_depth
 from ..sources import tables
 
 
+#: The greatest number of types that hold whole counts.
+WHOLE = {"byte": 2**7 - 1, "short": 2**15 - 1, "int": 2**31 - 1}
+
+
 def build_standardized(
     m: AnnotatedMatrix, splits: DataFrame, output: str, cell_type: str, batch: str, dataset: str,
     variable: DataFrame | None = None, target_sum: float = 1e4, extra: dict[str, str] | None = None,
@@ -34,7 +38,10 @@ def build_standardized(
     genes.write.mode("overwrite").parquet(f"{output}/genes")
     if embeddings is not None:
         embeddings.join(of, "cell_id").write.mode("overwrite").partitionBy("split").parquet(f"{output}/embeddings")
-    return preprocess.split_stats(cells, m.counts, normalized)
+    names = ("cells", "counts", "normalized", "embeddings")
+    sizes = [(s, sum(tables.size_mb(cells.sparkSession, f"{output}/{n}/split={s}") for n in names)) for s in ("train", "val", "test")]
+    files = cells.sparkSession.createDataFrame(sizes, "split string, file_size_mb double")
+    return preprocess.split_stats(cells, m.counts, normalized).join(files, "split")
 
 
 def dataset_rows(
@@ -42,8 +49,16 @@ def dataset_rows(
 ) -> DataFrame:
     """(cell_id, counts, condition, label): dense counts over ``genes`` (with ``column``), vector and label number.
 
-    Without a label column the label is 0. Labels are numbered in their order.
+    Without a label column the label is 0. Labels are numbered in their order. A
+    ``dtype`` of whole numbers (``short`` halves the space) takes counts that it can hold;
+    others raise.
     """
+    if dtype in WHOLE:
+        limit = WHOLE[dtype]
+        x = F.col("value").cast("double")
+        bad = m.counts.where((x != F.round(x)) | (x < -limit - 1) | (x > limit)).limit(1).count()
+        if bad:
+            raise ValueError(f"counts that {dtype} can't hold")
     width = genes.count()
     dense = preprocess.dense_rows(m.cells, m.counts, genes, width).select("cell_id", F.col("row").cast(f"array<{dtype}>").alias("counts"))
     vector = encoding.condition_vector(schema) if schema is not None else F.array().cast("array<float>")
@@ -134,7 +149,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", choices=("split", "chunks"), default="split")
     p.add_argument("--split", default="train")
     p.add_argument("--layer", default="X")
-    p.add_argument("--counts-dtype", choices=("float", "double"), default="float")
+    p.add_argument("--counts-dtype", choices=("float", "double", *WHOLE), default="float")
     p.add_argument("--chunk-size", type=int, default=50_000)
     a = p.parse_args(args)
     done = build_dataset(

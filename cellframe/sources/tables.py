@@ -7,9 +7,13 @@ position reach the scan.
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,22 +100,58 @@ def row_range(m: AnnotatedMatrix, start: int, end: int, pos: str = "cell_pos") -
     return m.counts.join(cells, "cell_id", "left_semi")
 
 
-#: Names under which a run's embedding may lie, the first found wins.
-LATENTS = ("latent", "embeddings", "z")
+# Names under which a run's embedding may lie, the first found wins.
+LATENTS = ("benchmark_qz_mean", "analysis_qz_mean", "qz_mean")
+LATENT_PAIRS = (("train_qz_mean", "val_qz_mean"), ("train_latent", "val_latent"))
+
+
+def _latent(spark: SparkSession, path: str) -> DataFrame | None:
+    """(cell_id, vec) of a Parquet table, or of an array file whose rows are numbered from 0; None if neither is there."""
+    for place in (path, f"{path}.parquet"):
+        if exists(spark, place):
+            return spark.read.parquet(place)
+    if not exists(spark, f"{path}.npy"):
+        return None
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                x = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+                for at in range(0, len(x), 10_000):
+                    part = x[at : at + 10_000]
+                    edges = pa.array(np.arange(0, part.size + 1, x.shape[1]), pa.int32())
+                    vec = pa.ListArray.from_arrays(edges, pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), vec], names=["cell_id", "vec"])
+
+    return spark.read.format("binaryFile").load(f"{path}.npy").select("content").mapInArrow(rows, "cell_id long, vec array<double>")
 
 
 def load_latent(spark: SparkSession, run_dir: str, eval_subdir: str = "eval") -> DataFrame:
-    """(cell_id, vec) of a run: its evaluation's, else those of train and val together."""
+    """(cell_id, vec) of a run: its evaluation's, else those of train and val together.
+
+    Rows of array files have no ids; those of val are numbered on behind those of train.
+    """
     for name in LATENTS:
-        if exists(spark, f"{run_dir}/{eval_subdir}/{name}"):
-            return spark.read.parquet(f"{run_dir}/{eval_subdir}/{name}")
-    for pattern in ("latent_{}", "{}_latent"):
-        parts = [f"{run_dir}/{pattern.format(s)}" for s in ("train", "val")]
-        if all(exists(spark, p) for p in parts):
-            return spark.read.parquet(parts[0]).unionByName(spark.read.parquet(parts[1]))
+        found = _latent(spark, f"{run_dir}/{eval_subdir}/{name}")
+        if found is not None:
+            return found
+    for names in LATENT_PAIRS:
+        parts = [_latent(spark, f"{run_dir}/{n}") for n in names]
+        if all(p is not None for p in parts):
+            if exists(spark, f"{run_dir}/{names[1]}.npy"):
+                parts[1] = parts[1].withColumn("cell_id", F.col("cell_id") + parts[0].count())
+            return parts[0].unionByName(parts[1])
     raise FileNotFoundError(f"no embedding in {run_dir}")
 
 
+def size_mb(spark: SparkSession, path: str) -> float:
+    """The files below a path, in MB (0 if there are none)."""
+    if not exists(spark, path):
+        return 0.0
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() / (1024 * 1024)
+
+
 def load_split_cells(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "val")) -> DataFrame:
     """The cells of the splits that are there; none at all raises."""
     found = [spark.read.parquet(p) for s in splits if exists(spark, p := f"{path}/{s}/cells")]

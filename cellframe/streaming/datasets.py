@@ -12,6 +12,10 @@ from ..operators import encoding
 from ..sources import tables
 
 
+#: Rows that are fetched together.
+AHEAD = 256
+
+
 def open_split(spark: SparkSession, path: str, split: str = "train", dtype: str | None = None) -> DataFrame:
     """The rows of a split, wherever it lies (``path/split`` before ``path``), counts cast on demand."""
     place = f"{path}/{split}" if tables.exists(spark, f"{path}/{split}") else path
@@ -25,15 +29,28 @@ class HeldDataset:
     def __init__(self, spark: SparkSession, path: str, split: str = "train", dtype: str | None = None):
         self.rows = open_split(spark, path, split, dtype).persist(StorageLevel.MEMORY_AND_DISK)
         self._n = self.rows.count()
+        self._near: dict[int, Row] = {}
 
     def __len__(self) -> int:
         return self._n
 
     def __getitem__(self, pos: int) -> Row:
-        found = self.rows.where(F.col("cell_pos") == pos).first()
-        if found is None:
+        """A row; its neighbours by position come along, as the next ones asked for."""
+        if pos not in self._near:
+            low = pos - pos % AHEAD
+            self._near = {r.cell_pos: r for r in self.rows.where(F.col("cell_pos").between(low, low + AHEAD - 1)).collect()}
+        if pos not in self._near:
             raise IndexError(pos)
-        return found
+        return self._near[pos]
+
+    def __getitems__(self, positions: list[int]) -> list[Row]:
+        """The rows of a batch, in its order, by one job."""
+        wanted = self.rows.sparkSession.createDataFrame([(int(p),) for p in set(positions)], "cell_pos long")
+        found = {r.cell_pos: r for r in self.rows.join(F.broadcast(wanted), "cell_pos", "left_semi").collect()}
+        missing = [p for p in positions if p not in found]
+        if missing:
+            raise IndexError(missing[0])
+        return [found[p] for p in positions]
 
 
 class StreamedDataset:

@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,9 +161,13 @@ def test_latents_and_gene_lists(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.load_latent(spark, str(tmp_path))
     for s in ("train", "val"):
-        v.write.parquet(f"{tmp_path}/latent_{s}")
+        v.write.parquet(f"{tmp_path}/{s}_latent")
     assert tables.load_latent(spark, str(tmp_path)).count() == 2
-    v.write.parquet(f"{tmp_path}/eval/latent")
+    np.save(tmp_path / "train_qz_mean.npy", np.arange(6.0).reshape(3, 2))
+    np.save(tmp_path / "val_qz_mean.npy", np.array([[9.0, 8.0]], np.float32))
+    got = tables.load_latent(spark, str(tmp_path)).orderBy("cell_id").collect()
+    assert [(r.cell_id, list(r.vec)) for r in got] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5]), (3, [9, 8])]
+    v.write.parquet(f"{tmp_path}/eval/qz_mean")
     assert tables.load_latent(spark, str(tmp_path)).count() == 1
     (tmp_path / "g.txt").write_text(" A \n\nB\n")
     (tmp_path / "g.json").write_text('{"hvg_genes": ["C"]}')
@@ -190,6 +195,9 @@ def test_a_dataset_is_built_and_read(spark, small, tmp_path, form):
     assert not datasets.build_dataset(spark, f"{tmp_path}/none", f"{tmp_path}/out")
     if form == "split":
         data = HeldDataset(spark, f"{tmp_path}/out", dtype="double")
+        assert [r.cell_pos for r in data.__getitems__([2, 0, 2])] == [2, 0, 2] and data[0].cell_pos == 0
+        with pytest.raises(IndexError):
+            data.__getitems__([0, 10**9])
         assert len(data) == 20 and data[4].cell_id == 4
         with pytest.raises(IndexError):
             data[99]
@@ -216,3 +224,29 @@ def test_encoding_runs_on_a_stream(spark, small, tmp_path):
         assert spark.table("encoded").count() == 20
     finally:
         q.stop()
+
+
+def test_order_statistics_are_exact(spark):
+    from cellframe.core import order_statistics, percentiles
+
+    rng = np.random.default_rng(0)
+    rows = [("a", float(v)) for v in rng.normal(size=500)] + [("b", float(v)) for v in rng.integers(0, 4, 300)] + [("c", 1.5), (None, 2.0), (None, 3.0), ("a", None), ("d", None)]
+    table = spark.createDataFrame(rows, "k string, v double")
+    groups = {k: sorted(v for g, v in rows if g == k and v is not None) for k in ("a", "b", "c", None)}
+    got = {r.k: r for r in order_statistics(table, ["k"], "v", {"low": (F.floor(F.col("n") * 0.1) + 1, 0.1), "top": (F.col("n"), 0.2)}).collect()}
+    assert {k: (r.n, r.low, r.top) for k, r in got.items()} == {k: (len(v), v[int(len(v) * 0.1)], v[-1]) for k, v in groups.items()}
+    for r in percentiles(table, ["k"], "v", {"q": 0.25, "m": 0.5}).collect():
+        assert (r.q, r.m) == pytest.approx(tuple(np.quantile(groups[r.k], [0.25, 0.5])))
+    assert percentiles(table.where("false"), [], "v", {"q": 0.5}).count() == 0
+
+
+def test_whole_counts_keep_to_their_type(spark, small):
+    from cellframe.plans.datasets import dataset_rows
+
+    genes = preprocess.resolve_genes(small.genes)
+    got = dataset_rows(small, genes, dtype="short")
+    assert dict(got.dtypes)["counts"] == "array<smallint>" and got.count() == small.cells.count()
+    with pytest.raises(ValueError):
+        dataset_rows(AnnotatedMatrix(small.cells, small.genes, small.counts.withColumn("value", F.col("value") + 40_000)), genes, dtype="short")
+    first = preprocess.validate_values(small.counts, "counts", sample_n=3).first()
+    assert first.ok and first.fraction_integer == 1.0
