@@ -1,28 +1,34 @@
 """Encoding and decoding with a piece model, as a weighted finite-state transducer.
 
-Method. Three transducers are compiled from the model file: the normaliser (a blank
-before the text, blanks to the blank sign), the pieces (a trie whose final states
-emit piece ids), and the byte fallback (a character that no piece spells emits the
-pieces of its UTF-8 bytes). Composed with a text they give a lattice whose states
-are text positions together with the piece that ends there. An arc costs 0 where
-its piece may follow the last one and infinity where it may not; the encoding is
-the shortest path in the tropical semiring.
-
-The models at hand are of the merging kind. There a sequence of pieces is the
-encoding exactly if each two neighbours are: merging the text of the two alone
-gives the two (Berglund and van der Merwe, 2023). So the cost of an arc depends on
-two pieces only, and each prefix of a text has one piece that it ends in at finite
-cost, which makes the relaxation linear. Whether two pieces may be neighbours is
-read from the merges along their common border, each against the time at which the
-piece beside it grows.
-
-Where a text has blanks only between words, the lattice falls apart at the blank
-signs, for no piece has one behind another sign; the shortest path of a part is
+Method. Three transducers are compiled from the model file: the normaliser (the
+model's table of rewritten character sequences, longest first; blanks taken together
+if it says so; a blank before the text; blanks to the blank sign), the pieces (a trie
+whose final states emit piece ids), and the byte fallback (a character that no piece
+spells emits the pieces of its UTF-8 bytes, or the unknown piece where the model has
+none of these). Composed with a text they give a lattice whose states are text
+positions together with the piece that ends there; the encoding is its shortest path
+in the tropical semiring.
+
+In a model of scored pieces an arc costs minus its piece's score, and the unknown
+piece ten more than the dearest piece. Of equally short paths the one whose last
+piece begins first is taken; sums are in double precision.
+
+In a model of the merging kind the shortest path by scores alone would be wrong.
+There a sequence of pieces is the encoding exactly if each two neighbours are: merging
+the text of the two alone gives the two (Berglund and van der Merwe, 2023). So an arc
+costs 0 where its piece may follow the last one and infinity where it may not, and
+each prefix of a text has one piece that it ends in at finite cost. Whether two pieces
+may be neighbours is read from the merges along their common border, each against the
+time at which the piece beside it grows.
+
+Where no piece has a blank sign behind another sign, the lattice falls apart at the
+blank signs; the shortest path of a part is
 found once for all its copies in a batch and remembered for a while.
 
 Cases. A null text has null ids, 0 tokens and decodes to null. An empty text has no
-ids. Signs that a text shares with the blank sign come back as blanks, so that such
-a text alone doesn't make the round trip. Repeated rows are encoded alike, rows
+ids. Signs that a text shares with the blank sign come back as blanks, and rewritten
+ones as what they became, so that with a model that rewrites nothing only a text
+with that sign doesn't make the round trip. Repeated rows are encoded alike, rows
 without an id too. An empty table gives an empty result. Texts are encoded whole.
 """
 
@@ -47,7 +53,10 @@ MEMO = 150_000
 #: Characters of a group of texts that are encoded together.
 GROUP_CHARS = 1_500_000
 _PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_NORMAL, _USER, _UNUSED, _BYTE = 1, 4, 5, 6
+_NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
+_SCORED, _MERGING = 1, 2
+#: Fixed value: what the unknown piece costs beyond the dearest one.
+UNKNOWN_COST = 10.0
 _NEVER = np.int32(2**30)
 
 
@@ -115,6 +124,66 @@ class Table:
         return out
 
 
+def rewrites(table: bytes) -> dict[str, str]:
+    """The rules of a compiled normaliser: a double-array trie of UTF-8 sequences, and what each becomes.
+
+    Fixed format: the trie's size in bytes, its 32-bit units, then texts that end in a
+    zero byte, to whose offsets the leaves point.
+    """
+    if not table:
+        return {}
+    size = struct.unpack("<I", table[:4])[0]
+    unit = np.frombuffer(table[4 : 4 + size], "<u4").astype(np.int64)
+    texts = table[4 + size :]
+    label = unit & 0x800000FF
+    child = (unit >> 10) << ((unit & 512) >> 6)
+    found: dict[str, str] = {}
+    letters = np.arange(1, 256)
+    open_ = [(int(child[0]), b"")]
+    while open_:
+        base, key = open_.pop()
+        at = base ^ letters
+        ok = at < len(unit)
+        ok[ok] = label[at[ok]] == letters[ok]
+        for c, k in zip(letters[ok].tolist(), at[ok].tolist(), strict=True):
+            below = k ^ int(child[k])
+            if unit[k] >> 8 & 1:
+                start = int(unit[below] & 0x7FFFFFFF)
+                try:
+                    found[(key + bytes([c])).decode()] = texts[start : texts.index(b"\0", start)].decode()
+                except UnicodeDecodeError:  # part of a character: never met in a text
+                    pass
+            open_.append((below, key + bytes([c])))
+    return found
+
+
+class Normalizer:
+    """Text to text, before blanks become blank signs."""
+
+    def __init__(self, rules: dict[str, str], one_blank: bool):
+        self.rules, self.one_blank = rules, one_blank
+        self.longest: dict[str, int] = {}
+        for key in rules:
+            self.longest[key[0]] = max(self.longest.get(key[0], 0), len(key))
+
+    def __call__(self, text: str) -> str:
+        longest, rules = self.longest, self.rules
+        if longest and not longest.keys().isdisjoint(text):
+            out, at = [], 0
+            while at < len(text):
+                for n in range(min(longest.get(text[at], 0), len(text) - at), 0, -1):
+                    if (to := rules.get(text[at : at + n])) is not None:
+                        out.append(to)
+                        at += n
+                        break
+                else:
+                    out.append(text[at])
+                    at += 1
+            text = "".join(out)
+        # blank signs of the text's own are blanks at its end, and there alone
+        return re.sub(" +", " ", text).lstrip(" ").rstrip(f" {BLANK}") if self.one_blank else text
+
+
 class Transducer:
     """The compiled model: tables only, so that it can be broadcast."""
 
@@ -130,26 +199,45 @@ class Transducer:
                     trainer = dict(_fields(value))
                 elif number == 3:
                     normalizer = dict(_fields(value))
-        if trainer.get(3, 1) != 2:
-            raise ValueError("only models of the merging kind are supported")
-        if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(5, 1) or any(k == _USER for *_, k in pieces):
-            raise ValueError("only the identity normaliser that keeps blanks is supported")
+        kind = trainer.get(3, _SCORED)
+        if kind not in (_SCORED, _MERGING):
+            raise ValueError("only models of scored pieces and of merged ones are supported")
+        if not normalizer.get(5, 1) or trainer.get(24, 0) or any(k == _USER for *_, k in pieces):
+            raise ValueError("symbols of a user, blanks that stay blanks or that end words are not supported")
+        self.normalize = Normalizer(rewrites(normalizer.get(2, b"")), bool(normalizer.get(4, 1)))
+        self.plain = not self.normalize.rules and not self.normalize.one_blank
+        self.weighted = kind == _SCORED
         self.prefix = bool(normalizer.get(3, 1))
-        self.unknown = next((i for i, p in enumerate(pieces) if p[2] == 2), 0)
+        self.unknown = next((i for i, p in enumerate(pieces) if p[2] == _UNKNOWN), 0)
+        self.fallback = bool(trainer.get(35, 0))
+        surface = trainer.get(44, " \u2047 ".encode())
         self.bytes = np.full(256, self.unknown, np.int32)
         self.text = []
         for i, (s, _, kind) in enumerate(pieces):
             if kind == _BYTE:
                 self.bytes[int(s[3:5], 16)] = i
                 self.text.append(bytes([int(s[3:5], 16)]))
+            elif kind == _UNKNOWN:
+                self.text.append(surface)
             else:
-                self.text.append(b"" if kind in (2, 3) else s.replace(BLANK, " ").encode())
-        if not trainer.get(35, 0):
-            self.bytes[:] = self.unknown
-        vocab = {s: i for i, (s, _, kind) in enumerate(pieces) if kind in (_NORMAL, _UNUSED)}
-        if any(BLANK in s.lstrip(BLANK) for s in vocab):
-            raise ValueError("a piece has the blank sign behind another sign")
-        self._compile(vocab, [p[1] for p in pieces])
+                self.text.append(b"" if kind == 3 else s.replace(BLANK, " ").encode())
+        kinds = (_NORMAL,) if self.weighted else (_NORMAL, _UNUSED)
+        vocab = {s: i for i, (s, _, kind) in enumerate(pieces) if kind in kinds}
+        #: Whether no piece goes on behind a blank sign, so that a text falls apart there.
+        self.parted = not any(BLANK in s.lstrip(BLANK) for s in vocab)
+        scores = [p[1] for p in pieces]
+        if self.weighted:
+            self.vocab, self.n = vocab, len(scores)
+            self.cost = -np.array(scores, float)
+            self.unknown_cost = max((-scores[i] for i in vocab.values()), default=0.0) + UNKNOWN_COST
+            self.length = np.zeros(self.n, np.int32)
+            for s, i in vocab.items():
+                self.length[i] = len(s)
+            self._trie(list(vocab))
+        else:
+            if not self.parted:
+                raise ValueError("a merged piece has the blank sign behind another sign")
+            self._compile(vocab, scores)
 
     def _compile(self, vocab: dict[str, int], scores: list[float]) -> None:
         """Ranks of merges, borders of pieces, and the trie."""
@@ -189,17 +277,7 @@ class Transducer:
                     pairs[self.ids[s[:k]] * n + self.ids[s[k:]]] = self.rank[s]
         self.n = n
         self.pairs = Table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)), int(_NEVER))
-        nodes, keys, targets = {"": 0}, [], []
-        for s in reachable:
-            for k in range(1, len(s) + 1):
-                if s[:k] not in nodes:
-                    nodes[s[:k]] = len(nodes)
-                    keys.append((nodes[s[: k - 1]] << 21) | ord(s[k - 1]))
-                    targets.append(nodes[s[:k]])
-        self.trie = Table(np.array(keys, np.int64), np.array(targets, np.int32), -1)
-        self.final = np.full(len(nodes), -1, np.int32)
-        for s in reachable:
-            self.final[nodes[s]] = vocab[s]
+        self._trie(reachable)
         self.length = np.zeros(n, np.int32)
         for s, i in self.ids.items():
             self.length[i] = len(s)
@@ -210,6 +288,20 @@ class Transducer:
         self.spelled = {i: s for s, i in self.ids.items()}
         self.runs: dict[tuple[int, int], bool] = {}
 
+    def _trie(self, pieces: list[str]) -> None:
+        """The trie of ``pieces``, whose final states know their ids."""
+        nodes, keys, targets = {"": 0}, [], []
+        for s in pieces:
+            for k in range(1, len(s) + 1):
+                if s[:k] not in nodes:
+                    nodes[s[:k]] = len(nodes)
+                    keys.append((nodes[s[: k - 1]] << 21) | ord(s[k - 1]))
+                    targets.append(nodes[s[:k]])
+        self.trie = Table(np.array(keys, np.int64), np.array(targets, np.int32), -1)
+        self.final = np.full(len(nodes), -1, np.int32)
+        for s in pieces:
+            self.final[nodes[s]] = self.vocab[s]
+
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces of a short text by merging best pairs first, and the last pair merged."""
         parts, last = list(text), None
@@ -294,6 +386,8 @@ class Encoder:
         base = np.cumsum(size) - size
         #: The piece that the shortest path to each position ends in (by place of its last sign).
         last = np.full(len(code), -1, np.int32)
+        #: What that path costs, in a model of scored pieces.
+        path = np.zeros(len(code) if m.weighted else 0)
         at = node = np.zeros(0, np.int64)
         begin = np.zeros(0, np.int64)
         for r in range(int(size[0]) if len(size) else 0):
@@ -308,6 +402,9 @@ class Encoder:
             at, begin, node = at[live], begin[live], node[live]
             piece = m.final[node]
             arc = np.flatnonzero(piece >= 0)
+            if m.weighted:
+                self._relax(arc, at, begin, piece, base, r, n, last, path)
+                continue
             before = np.where(begin[arc] > 0, last[np.maximum(base[at[arc]] + begin[arc] - 1, 0)], -1)
             free = before < 0  # the part's start, or a byte
             ok = free.copy()
@@ -345,17 +442,36 @@ class Encoder:
             if bytes_in[k]:
                 spelled = []
                 for i in ids[edge[k] : edge[k + 1]].tolist():
-                    spelled += [i] if i >= 0 else m.bytes[list(chr(-i - 1).encode("utf-8", "replace"))].tolist()
+                    spelled += [i] if i >= 0 else m.bytes[list(chr(-i - 1).encode("utf-8", "replace"))].tolist() if m.fallback else [m.unknown]
                 result[target] = np.array(spelled, "<i4").tobytes()
             else:
                 result[target] = packed[4 * edge[k] : 4 * edge[k + 1]]
         return result
 
+    def _relax(self, arc, at, begin, piece, base, r: int, n: int, last: np.ndarray, path: np.ndarray) -> None:
+        """The least costs up to position ``r`` of the first ``n`` parts, over the arcs that end there."""
+        m = self.model
+        spelled = np.zeros(n, bool)
+        spelled[at[arc[begin[arc] == r]]] = True
+        bare = np.flatnonzero(~spelled)  # no piece is this sign alone: it may be unknown
+        upto = lambda k, b: np.where(b > 0, path[np.maximum(base[k] + b - 1, 0)], 0.0)
+        where = np.concatenate([at[arc], bare])
+        cost = np.concatenate([upto(at[arc], begin[arc]) + m.cost[piece[arc]], upto(bare, np.full(len(bare), r)) + m.unknown_cost])
+        what = np.concatenate([piece[arc], np.full(len(bare), -2)])
+        first = np.concatenate([begin[arc], np.full(len(bare), r)])
+        order = np.lexsort((first, cost, where))
+        lead = order[np.unique(where[order], return_index=True)[1]]
+        last[base[where[lead]] + r], path[base[where[lead]] + r] = what[lead], cost[lead]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as packed 32-bit integers."""
+        if not self.model.plain:
+            texts = [self.model.normalize(t) for t in texts]
         split = []
         for t in texts:
-            if self.model.prefix and t and BLANK not in t and "\0" not in t and "  " not in t and t[0] != " " and t[-1] != " ":
+            if not self.model.parted:
+                split.append(["\0" + (BLANK if self.model.prefix else "") + t.replace(" ", BLANK)] if t else [])
+            elif self.model.prefix and t and BLANK not in t and "\0" not in t and "  " not in t and t[0] != " " and t[-1] != " ":
                 split.append(t.split(" "))  # a word stands for itself behind a blank
             elif t:
                 whole = (BLANK if self.model.prefix else "") + t.replace(" ", BLANK)
@@ -369,7 +485,14 @@ class Encoder:
         parts = [w[1:] if w[:1] == "\0" else BLANK + w for w in new]
         for a, b in chunks(map(len, parts), GROUP_CHARS):
             memo.update(zip(new[a:b], self.shortest_paths(parts[a:b]), strict=True))
-        return [b"".join([memo[w] for w in words]) for words in split]
+        found = [b"".join([memo[w] for w in words]) for words in split]
+        return found if self.model.fallback else [self._one_unknown(x) for x in found]
+
+    def _one_unknown(self, packed: bytes) -> bytes:
+        """Unknown pieces in a row are one."""
+        ids = np.frombuffer(packed, "<i4")
+        again = (ids[1:] == self.model.unknown) & (ids[:-1] == self.model.unknown)
+        return ids[np.concatenate([[True], ~again])].tobytes() if again.any() else packed
 
 
 def decode_ids(model: Transducer, ids: np.ndarray) -> str:
