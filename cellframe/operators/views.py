@@ -168,15 +168,13 @@ def centroids(points: DataFrame) -> DataFrame:
 
 def silverman(points: DataFrame, columns: list[str]) -> DataFrame:
     """One row: ``0.9 min(sd, IQR / 1.34) n^(-1/5)`` of each column (null for n < 2)."""
-    out = None
-    for c in columns:
-        x = F.col(c).cast("double")
-        sd = points.agg(F.stddev_samp(x).alias("sd"), F.count(x).cast("double").alias("size"))
-        quartiles = percentiles(points, [], c, {"low": 0.25, "high": 0.75})
-        spread = F.least(F.col("sd"), (F.col("high") - F.col("low")) / 1.34)
-        row = sd.join(quartiles, F.lit(True), "left").select((0.9 * spread * F.pow("size", F.lit(-0.2))).alias(c))
-        out = row if out is None else out.crossJoin(row)
-    return out
+    stats = points.agg(*[f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("sd", F.stddev_samp), ("n", F.count))])
+    long = points.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
+    quartiles = percentiles(long, ["axis"], "x", {"low": 0.25, "high": 0.75})
+    wide = quartiles.agg(*[F.max(F.when(F.col("axis") == c, F.col("high") - F.col("low"))).alias(f"iqr_{c}") for c in columns])
+    return stats.crossJoin(wide).select(
+        *[(0.9 * F.least(F.col(f"sd_{c}"), F.col(f"iqr_{c}") / 1.34) * F.pow(F.col(f"n_{c}").cast("double"), F.lit(-0.2))).alias(c) for c in columns]
+    )
 
 
 def _grid(points: DataFrame, axes: list[str], adjust: float, n: int, limits: list[tuple[float, float]] | None):

@@ -59,6 +59,13 @@ def latent(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def latent_many(spark: SparkSession, d: str, times: int) -> DataFrame:
+    """``latent`` with ``times`` cells for each, moved a little by a hash: for measuring at larger sizes."""
+    rows = latent(spark, d).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    moved = F.transform("vec", lambda x, i: x + (F.pmod(F.xxhash64("cell_id", "copy", i), F.lit(1000)) / 1000.0 - 0.5) * 0.1)
+    return rows.select((F.col("cell_id") * times + F.col("copy")).alias("cell_id"), moved.alias("vec"), "cell_type", "batch")
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     v = latent(spark, d)
     return v.select(
