@@ -316,7 +316,7 @@ def link_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY, candi
         return found
     open_ = join_hot(named, apart, "key", _rows_of(apart))
     rows = materialize(open_.select(F.col("key").alias("bucket"), "h", "c"), "open")
-    dealt = deal(rows, "h", most=SHARD, carry=sets).select("bucket", "i", "j", "h", "c", "shingles")
+    dealt = deal(rows, "h", most=SHARD, times=2, carry=sets).select("bucket", "i", "j", "h", "c", "shingles")
     more = materialize(dealt.mapInArrow(_settle(similarity), "src long, dst long"), "links")
     if more.isEmpty():
         return found
