@@ -106,6 +106,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_simhash": simhash.oracle_sql(),
         "op5_decontamination": decontaminate.oracle_sql(),
         "op9_embedding_near_dedup": embeddings.oracle_sql(),
     }

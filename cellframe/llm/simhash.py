@@ -224,6 +224,81 @@ def hex_digits(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
+def _xxh64_sql(rows: str, seed: int = SEED) -> str:
+    """Common table expressions that hash ``rows`` (column ``s``, text) as ``hashed`` (``s``, ``h``), in DuckDB.
+
+    XXH64 by its public definition, in 128-bit integers of which the low 64 bits count.
+    """
+    # The five primes of XXH64.
+    p = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+    p1, p2, p3, p4, p5 = (f"{x}::UHUGEINT" for x in p)
+    low = f"{2**64 - 1}::UHUGEINT"
+
+    def turn(x: str, r: int) -> str:
+        return f"(({x} * {1 << r}::UHUGEINT & {low}) | ({x} >> {64 - r}::UHUGEINT))"
+
+    def mix(x: str) -> str:
+        return f"({turn(f'({x} * {p2} & {low})', 31)} * {p1} & {low})"
+
+    def word(at: str, size: int) -> str:
+        """``size`` bytes from byte ``at``, the first one lowest: hex digits read backwards, halves of each byte swapped."""
+        odd, even = int("F0" * size, 16), int("0F" * size, 16)
+        v = f"('0x' || substr(back, 2 * (n - {at} - {size}) + 1, {2 * size}))::UBIGINT"
+        return f"((({v} & {odd}::UBIGINT) >> 4) | (({v} & {even}::UBIGINT) << 4))::UHUGEINT"
+
+    starts = [(seed + p[0] + p[1]) % 2**64, (seed + p[1]) % 2**64, seed, (seed - p[0]) % 2**64]
+    lanes = ", ".join(
+        f"list_reduce(list_transform(range(n // 32), lambda k: {word(f'(32 * k + {8 * i})', 8)}), "
+        f"lambda a, x: {turn(f'((a + x * {p2}) & {low})', 31)} * {p1} & {low}, {start}::UHUGEINT) AS v{i}"
+        for i, start in enumerate(starts)
+    )
+    merged = "(" + " + ".join(turn(f"v{i}", r) for i, r in enumerate((1, 7, 12, 18))) + f") & {low}"
+    for i in range(4):
+        merged = f"(xor({merged}, {mix(f'v{i}')}) * {p1} + {p4}) & {low}"
+    rest = "(n - n % 32)"
+    eights = f"list_transform(range(n % 32 // 8), lambda k: {word(f'({rest} + 8 * k)', 8)})"
+    ones = f"list_transform(range(n % 4), lambda k: {word('(n - n % 4 + k)', 1)})"
+    eight = turn(f"xor(a, {mix('x')})", 27)
+    four = turn(f"xor(h, {word('(n - n % 8)', 4)} * {p1} & {low})", 23)
+    one = turn(f"xor(a, x * {p5} & {low})", 11)
+    return f"""
+    bytes AS (SELECT s, hex(s) AS hx, strlen(s) AS n FROM ({rows})),
+    back AS (SELECT s, n, reverse(hx) AS back, {seed}::UHUGEINT AS seed FROM bytes),
+    lanes AS (SELECT *, {lanes} FROM back),
+    begun AS (SELECT s, n, back, ((CASE WHEN n >= 32 THEN {merged} ELSE seed + {p5} END) + n::UHUGEINT) & {low} AS h FROM lanes),
+    by_eight AS (SELECT s, n, back, list_reduce({eights}, lambda a, x: ({eight} * {p1} + {p4}) & {low}, h) AS h FROM begun),
+    by_four AS (SELECT s, n, back, CASE WHEN n % 8 >= 4 THEN ({four} * {p2} + {p3}) & {low} ELSE h END AS h FROM by_eight),
+    by_one AS (SELECT s, list_reduce({ones}, lambda a, x: {one} * {p1} & {low}, h) AS h FROM by_four),
+    shaken AS (SELECT s, xor(h, h >> 33::UHUGEINT) * {p2} & {low} AS h FROM by_one),
+    stirred AS (SELECT s, xor(h, h >> 29::UHUGEINT) * {p3} & {low} AS h FROM shaken),
+    hashed AS (SELECT s, xor(h, h >> 32::UHUGEINT)::UBIGINT AS h FROM stirred)"""
+
+
+def oracle_sql(words: int = 3, max_bits: int = 3) -> str:
+    """Fingerprints and components by comparing all pairs and following links (DuckDB)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    run = f"concat_ws(' ', w, {', '.join(f'lead(w, {i}) OVER o' for i in range(1, words))})"
+    set_bits = ", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(BITS))
+    value = " + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(BITS))
+    return f"""
+    WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    words AS (
+        SELECT row, unnest(w) AS w, generate_subscripts(w, 1) AS k, len(w) AS n
+        FROM (SELECT row, regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM docs)
+    ),
+    runs AS (SELECT row, k, n, {run} AS s FROM words WINDOW o AS (PARTITION BY row ORDER BY k)),
+    shingles AS (SELECT row, s FROM runs WHERE k <= greatest(n - {words - 1}, 1)),
+    {_xxh64_sql("SELECT DISTINCT s FROM shingles")},
+    counts AS (SELECT row, count(*) AS n, {set_bits} FROM shingles JOIN hashed USING (s) GROUP BY row),
+    prints AS (SELECT doc_id, coalesce(({value})::UBIGINT, 0::UBIGINT) AS f FROM docs LEFT JOIN counts USING (row)),
+    classes AS (SELECT f, min(doc_id) AS least FROM prints GROUP BY f),
+    pairs AS (SELECT a.f AS a, b.f AS b FROM classes a JOIN classes b ON a.f <> b.f AND bit_count(xor(a.f, b.f)::BIT) <= {max_bits}),
+    reach AS (SELECT f AS node, f AS seen FROM classes UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.seen),
+    named AS (SELECT node, min(least) AS component_id FROM reach JOIN classes ON f = seen GROUP BY node)
+    SELECT doc_id, lpad(lower(hex(f)), 16, '0') AS fingerprint, component_id FROM prints JOIN named ON node = f
+    """
+
+
 def _units(words: int):
     """For map_rows: a text's shingle set as a hash, its fingerprint, MinHash bands and 32-bit shingles."""
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -118,6 +119,28 @@ def test_simhash_of_odd_rows(spark, odd, nothing):
     assert simhash.deduplicate(nothing).count() == 0
 
 
+@pytest.mark.parametrize("most", [3, 8, 40, 200])
+def test_hashes_of_the_sql_equal_the_library(most):
+    import duckdb
+
+    rng = random.Random(most)
+    texts = pd.DataFrame({"s": sorted({"".join(rng.choices("aé漢b z😀", k=rng.randint(1, most))) for _ in range(100)})})
+    con = duckdb.connect()
+    con.register("texts", texts)
+    found = con.execute(f"WITH {simhash._xxh64_sql('SELECT s FROM texts')} SELECT s, h FROM hashed").fetchall()
+    assert len(found) == len(texts) and all(xxhash.xxh64_intdigest(s.encode(), simhash.SEED) == h for s, h in found)
+
+
+def test_simhash_of_odd_rows_equals_its_sql(spark, odd):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", odd.select("doc_id", "text").toArrow())
+    prints = simhash.with_fingerprints(odd.select("doc_id", "text"), keep=["doc_id"])
+    found = simhash.near_duplicates(prints).select("doc_id", simhash.hex_digits(F.col("fingerprint")), "component_id")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, con.execute(simhash.oracle_sql()).fetchall()))
+
+
 def test_near_copies_go_as_by_exact_jaccard(spark):
     """Texts of 5-word similarity 0.8 or more whose fingerprints differ in far more than 3 bits."""
     rng = random.Random(12)
