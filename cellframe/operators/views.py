@@ -300,7 +300,7 @@ def ward_order(x: np.ndarray, optimal: bool = False) -> list[int]:
 
 
 def kmeans_labels(x: np.ndarray, k: int, seed: int = 42, starts: int = 10) -> np.ndarray:
-    """Lloyd's algorithm from ``starts`` spread-out starts; the least inertia wins."""
+    """Lloyd's algorithm from ``starts`` spread-out starts; the least inertia wins. Clusters are numbered as they first appear."""
     rng = np.random.default_rng(seed)
     best = None
     for _ in range(starts):
@@ -318,7 +318,8 @@ def kmeans_labels(x: np.ndarray, k: int, seed: int = 42, starts: int = 10) -> np
         inertia = ((x - centers[label]) ** 2).sum()
         if best is None or inertia < best[0]:
             best = (inertia, label)
-    return best[1]
+    _, first, label = np.unique(best[1], return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[label]
 
 
 def ordering(

@@ -909,12 +909,34 @@ def ordering_manual(spark, d):
     return views.ordering(dots, manual=["Brand#55", "nothing", "Brand#11", "Brand#31"])
 
 
-@query()
+# Ward's tree by its centroids, every order that the tree allows, the shortest path through the leaves. A path and its reverse are as long.
+@query(f"""WITH RECURSIVE dots AS ({ORACLES["dotplot_data"]}), wide AS (SELECT "group" AS name, list(color ORDER BY gene_id) AS v FROM dots GROUP BY 1),
+tree AS (SELECT list({{'n': 1, 'v': v, 'paths': [[name]]}} ORDER BY name) AS c FROM wide UNION ALL
+  SELECT list_concat(list_filter(c, lambda x, k: k <> a AND k <> b), [{{'n': c[a].n + c[b].n,
+    'v': list_transform(range(1, len(c[a].v) + 1), lambda k: (c[a].n * c[a].v[k] + c[b].n * c[b].v[k]) / (c[a].n + c[b].n)),
+    'paths': flatten(list_transform(c[a].paths, lambda x: flatten(list_transform(c[b].paths, lambda y: [list_concat(x, y), list_concat(y, x)]))))}}])
+  FROM (SELECT c, near.a, near.b FROM (SELECT c, list_min(flatten(list_transform(range(1, len(c) + 1), lambda i: list_transform(range(i + 1, len(c) + 1),
+    lambda j: {{'d': 2.0 * c[i].n * c[j].n / (c[i].n + c[j].n) * pow(list_distance(c[i].v, c[j].v), 2), 'a': i, 'b': j}})))) AS near FROM tree WHERE len(c) > 1))),
+paths AS (SELECT unnest(c[1].paths) AS path FROM tree WHERE len(c) = 1),
+placed AS (SELECT path, unnest(path) AS name, generate_subscripts(path, 1) AS k FROM paths WHERE path[1] <= path[-1]),
+steps AS (SELECT path, list_distance(v, lead(v) OVER (PARTITION BY path ORDER BY k)) AS step FROM placed JOIN wide USING (name)),
+best AS (SELECT path FROM steps GROUP BY path ORDER BY sum(step), path LIMIT 1)
+SELECT unnest(path) AS name, CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS position FROM best""")
 def ordering_ward(spark, d):
     return views.ordering(views.dotplot_data(matrix(spark, d, coarse=True), "cell_type"), "group", cluster=True)
 
 
-@query()
+# Lloyd's algorithm from every three genes; a start's rows end with the first that repeats.
+@query(f"""WITH RECURSIVE dots AS ({ORACLES["dotplot_data"]}), wide AS (SELECT gene_id AS name, list(color ORDER BY "group") AS v FROM dots GROUP BY 1),
+points AS (SELECT list(v ORDER BY name) AS p FROM wide), starts AS (SELECT [a.v, b.v, c.v] AS m FROM wide a JOIN wide b ON a.name < b.name JOIN wide c ON b.name < c.name),
+labelled AS (SELECT m, list_transform(p, lambda x: list_transform(m, lambda y: list_distance(x, y))) AS d FROM starts CROSS JOIN points),
+lloyd AS (SELECT m, list_transform(d, lambda x: list_position(x, list_min(x))) AS l, list_sum(list_transform(d, lambda x: pow(list_min(x), 2))) AS inertia FROM labelled UNION
+  SELECT m, list_transform(d, lambda x: list_position(x, list_min(x))) AS l, list_sum(list_transform(d, lambda x: pow(list_min(x), 2))) AS inertia
+  FROM (SELECT m, list_transform(p, lambda x: list_transform(m, lambda y: list_distance(x, y))) AS d, p FROM (
+    SELECT p, list_transform(range(1, 4), lambda k: CASE WHEN list_contains(l, k) THEN list_transform(range(1, len(p[1]) + 1),
+      lambda g: list_avg(list_transform(list_filter(p, lambda x, i: l[i] = k), lambda x: x[g]))) ELSE m[k] END) AS m FROM lloyd CROSS JOIN points))),
+best AS (SELECT l FROM lloyd ORDER BY inertia, l LIMIT 1), named AS (SELECT name, l[row_number() OVER (ORDER BY name)] AS label FROM wide CROSS JOIN best)
+SELECT name, CAST(row_number() OVER (ORDER BY first, name) - 1 AS INTEGER) AS position FROM (SELECT name, min(name) OVER (PARTITION BY label) AS first FROM named)""")
 def ordering_kmeans(spark, d):
     return views.ordering(views.dotplot_data(matrix(spark, d, coarse=True), "cell_type"), km=3)
 
