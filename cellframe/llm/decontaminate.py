@@ -32,12 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, without_ids
 
-#: Set positions of the masks: each selects 8 of 12 words.
+#: Set positions of the masks: 8 or 6 of 12 words. Any two substitutions among the 12 leave one mask whole.
 MASKS = (
     (0, 1, 2, 3, 4, 5, 6, 7),
     (0, 1, 3, 4, 6, 8, 10, 11),
     (0, 2, 3, 5, 7, 8, 9, 11),
     (0, 1, 4, 5, 6, 9, 10, 11),
+    (2, 6, 7, 8, 9, 10),
+    (3, 4, 5, 8, 9, 11),
+    (0, 1, 2, 4, 7, 11),
+    (2, 3, 5, 6, 10, 11),
+    (0, 1, 5, 8, 9, 10),
 )
 SPAN = 12
 MARGIN = 4
@@ -46,9 +51,9 @@ LEAST_MATCH = 0.8
 LEAST_WORDS = 5
 #: Words of the shortest items in which words may differ.
 LEAST_TOLERANT = 8
-#: Words of benchmark items whose seeds are broadcast at once: with four masks
+#: Words of benchmark items whose seeds are broadcast at once: with nine masks
 #: some 40 MB of hash table.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 90_000
 SEPARATORS = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 
 
@@ -142,7 +147,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_W
 
 def oracle_sql() -> str:
     """The same by comparing every aligned word, without hashes (DuckDB)."""
-    offsets = [f"({k}, {o})" for k, mask in enumerate(MASKS) for o in mask]
+    offsets = [f"({k}, {o}, {len(mask)})" for k, mask in enumerate(MASKS) for o in mask]
     tokens = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
     return f"""
     WITH items AS (SELECT item_id, {tokens} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -153,14 +158,14 @@ def oracle_sql() -> str:
     m AS (SELECT doc_id, item_id, n, p - q AS shift, q FROM dw JOIN iw USING (word)),
     dense AS (
         SELECT doc_id, item_id, n, shift FROM m GROUP BY ALL
-        HAVING count(*) >= CASE WHEN n < {LEAST_TOLERANT} THEN n WHEN n < {SPAN} THEN ceil({LEAST_MATCH} * n) ELSE 8 END
+        HAVING count(*) >= CASE WHEN n < {LEAST_TOLERANT} THEN n WHEN n < {SPAN} THEN ceil({LEAST_MATCH} * n) ELSE {min(map(len, MASKS))} END
     ),
     kept AS (SELECT m.* FROM m SEMI JOIN dense USING (doc_id, item_id, shift)),
-    masks(mask, o) AS (VALUES {", ".join(offsets)}),
+    masks(mask, o, weight) AS (VALUES {", ".join(offsets)}),
     seeds AS (
         SELECT DISTINCT doc_id, item_id, n, shift, q - o AS pos FROM kept, masks
         WHERE n >= {SPAN} AND q - o BETWEEN 0 AND n - {SPAN}
-        GROUP BY doc_id, item_id, n, shift, mask, q - o HAVING count(*) = 8
+        GROUP BY doc_id, item_id, n, shift, mask, weight, q - o HAVING count(*) = weight
         UNION
         SELECT doc_id, item_id, n, shift, 0 AS pos FROM dense WHERE n < {SPAN}
     ),

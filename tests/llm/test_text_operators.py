@@ -1,5 +1,6 @@
 """Classifiers, scans, decontamination, tokenization and the pipeline."""
 
+import itertools
 import os
 import random
 import re
@@ -148,6 +149,22 @@ def test_leaks_equal_brute_force_with_substitutions(spark):
     assert {(d, i): (m, n) for d, i, m, n in rows} == expected
 
 
+def test_masks_leave_few_substituted_items_unseen():
+    """Items with as many substitutions as may be: those of 12 to 14 words are all hit, of longer ones nine in ten or more, but for the chance of the sample."""
+    rng, span = random.Random(4), decontaminate.SPAN
+    masks = [sum(1 << o for o in m) for m in decontaminate.MASKS]
+    assert all(any(not m & (1 << a | 1 << b) for m in masks) for a, b in itertools.combinations(range(span), 2))
+    for n in range(span, 40):
+        patterns = [rng.sample(range(n), n // 5) for _ in range(500)]
+        hit = 0
+        for p in patterns:
+            spoilt = sum(1 << x for x in p)
+            seen = [a for a in range(n - span + 1) if any(not (m << a) & spoilt for m in masks)]
+            windows = [(max(0, a - decontaminate.MARGIN), min(n, a + span + decontaminate.MARGIN)) for a in seen]
+            hit += any(sum(low <= x < high for x in p) <= (1 - decontaminate.LEAST_MATCH) * (high - low) + 1e-9 for low, high in windows)
+        assert hit >= (1.0 if n < 15 else 0.85) * len(patterns), n
+
+
 def test_main_path_runs_no_python(spark, docs):
     plan = decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
