@@ -190,6 +190,8 @@ def test_ward_and_optimal_leaves():
     length = lambda o: sum(abs(x[a, 0] - x[b, 0]) for a, b in zip(o, o[1:], strict=False))
     assert length(best) <= length(order)
     assert len(set(views.kmeans_labels(x, 2))) == 2
+    blobs = np.array([[9.0], [0.0], [9.1], [5.0], [0.1], [5.1]])
+    assert list(views.kmeans_labels(blobs, 3)) == [0, 1, 0, 2, 1, 2]
 
 
 def test_a_group_of_one_cell_has_no_test(spark):
