@@ -285,6 +285,11 @@ def gene_dispersion(values: DataFrame, cells: DataFrame, genes: DataFrame, batch
     n = of.groupBy("batch").agg(F.count("*").alias("n"))
     y = F.expm1(F.col("value"))
     sums = values.join(of, "cell_id").groupBy("batch", "gene_id").agg(F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+    return dispersion_of_sums(sums, n, genes, bins)
+
+
+def dispersion_of_sums(sums: DataFrame, n: DataFrame, genes: DataFrame, bins: int = 20) -> DataFrame:
+    """``gene_dispersion`` from the sums (batch, gene_id, s, q) of ``expm1`` and its square, and the cells (batch, n)."""
     full = n.crossJoin(genes.select("gene_id")).join(sums, ["batch", "gene_id"], "left").fillna(0.0, ["s", "q"])
     mean = F.col("s") / F.col("n")
     variance = F.greatest(ratio(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0))
