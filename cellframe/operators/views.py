@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -299,29 +300,75 @@ def ward_order(x: np.ndarray, optimal: bool = False) -> list[int]:
     return min(best(nxt - 1).values(), key=lambda v: (v[0], v[1]))[1]
 
 
+#: Starts of k-means up to which every choice of ``k`` rows is one, and values of the distances that are held at a time.
+MOST_STARTS, _HELD = 50_000, 4_000_000
+
+
 def kmeans_labels(x: np.ndarray, k: int, seed: int = 42, starts: int = 10) -> np.ndarray:
-    """Lloyd's algorithm from ``starts`` spread-out starts; the least inertia wins. Clusters are numbered as they first appear."""
-    rng = np.random.default_rng(seed)
+    """Lloyd's algorithm from every ``k`` rows, to its end; the least inertia wins, ties by labels.
+
+    Where these are more than ``MOST_STARTS`` choices, from ``starts`` spread-out ones.
+    Clusters are numbered as they first appear.
+    """
+    n, k = len(x), min(k, len(x))
+    if not n:
+        return np.zeros(0, int)
+    if math.comb(n, k) <= MOST_STARTS:
+        chosen = np.array(list(combinations(range(n), k)))
+    else:
+        chosen = _spread_out(x, k, seed, starts)
     best = None
-    for _ in range(starts):
-        centers = x[[rng.integers(len(x))]]
-        while len(centers) < min(k, len(x)):
-            near = ((x[:, None] - centers[None]) ** 2).sum(-1).min(1)
-            p = near / near.sum() if near.sum() > 0 else None
-            centers = np.vstack([centers, x[rng.choice(len(x), p=p)]])
-        for _ in range(100):
-            label = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
-            new = np.array([x[label == c].mean(0) if (label == c).any() else centers[c] for c in range(len(centers))])
-            if np.allclose(new, centers):
-                break
-            centers = new
-        inertia = ((x - centers[label]) ** 2).sum()
-        if best is None or inertia < best[0]:
-            best = (inertia, label)
+    step = max(1, _HELD // (n * k))
+    for at in range(0, len(chosen), step):
+        inertia, label = _lloyd(x, x[chosen[at : at + step]])
+        for i in np.flatnonzero(inertia == inertia.min()):
+            found = (inertia[i], label[i].tolist())
+            best = found if best is None else min(best, found)
     _, first, label = np.unique(best[1], return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[label]
 
 
+def _spread_out(x: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
+    """``starts`` times ``k`` rows, each drawn by its squared distance to those before it."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(starts):
+        rows = [int(rng.integers(len(x)))]
+        while len(rows) < k:
+            near = ((x[:, None] - x[rows][None]) ** 2).sum(-1).min(1)
+            rows.append(int(rng.choice(len(x), p=near / near.sum() if near.sum() > 0 else None)))
+        out.append(rows)
+    return np.array(out)
+
+
+def _lloyd(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inertia and labels from each of the starts (starts x k x dimensions); a cluster without rows keeps its center.
+
+    Sums run row by row and dimension by dimension, the way they do in SQL, so that ties are the same ones.
+    """
+    starts, k, _ = centers.shape
+    centers = centers.copy()
+    label, inertia, live = np.full((starts, len(x)), -1), np.zeros(starts), np.arange(starts)
+    for _ in range(1000):  # rounding could make labels go round
+        if not len(live):
+            break
+        gap = np.zeros((len(live), len(x), k))
+        for g in range(x.shape[1]):
+            gap += (x[None, :, g, None] - centers[live][:, None, :, g]) ** 2
+        gap = np.sqrt(gap)
+        new = gap.argmin(axis=2)
+        inertia[live] = np.add.accumulate(gap.min(axis=2) ** 2, axis=1)[:, -1]
+        moved = (new != label[live]).any(axis=1)
+        label[live] = new
+        live, new = live[moved], new[moved]
+        cluster = (np.arange(len(live))[:, None] * k + new).ravel()
+        count = np.bincount(cluster, minlength=len(live) * k).reshape(-1, k)
+        for g in range(x.shape[1]):
+            total = np.bincount(cluster, np.tile(x[:, g], len(live)), len(live) * k).reshape(-1, k)
+            centers[live, :, g] = np.where(count > 0, total / np.maximum(count, 1), centers[live, :, g])
+    return inertia, label
+
+
 def ordering(
     dots: DataFrame, axis: str = "gene_id", manual: list[str] | None = None, km: int | None = None,
     cluster: bool = False, optimal: bool = True, seed: int = 42,
