@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans made within let go of their shuffle files when their job ends, however seldom the driver collects garbage.
+
+    For tables that are written. A plan that is run twice makes its shuffles anew,
+    so that what is returned unwritten is better made outside.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the rows of an Arrow batch for the texts' sake, never raise them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -41,9 +41,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..core import discard, settled
 from ..links import components, join_hot
 from .blocks import deal, group_starts
-from .common import map_rows, materialize, small_batches
+from .common import map_rows, materialize, small_batches, tidy_shuffles
 
 #: Words of a paragraph that takes part in the banding.
 LEAST_WORDS = 50
@@ -329,12 +330,24 @@ def find_repeats(docs: DataFrame, similarity: float = SIMILARITY, least_words: i
     (doc_id, unit, start_word, end_word, cluster_doc, cluster_start, kept): the
     words are numbered from 0 in the whole text, the end is exclusive; the cluster
     is named by its first occurrence, the one that is kept. Of repeated passages
-    within paragraphs, those in the cluster's first document are kept.
+    within paragraphs, those in the cluster's first document are kept. Shuffle files
+    go with the job that made them, units before the texts are shuffled for the
+    ends of passages.
     """
-    small_batches(docs.sparkSession)
-    source = docs.where("doc_id is not null and text is not null")
-    rows = materialize(source.select(F.col("doc_id").cast("long"), "text").mapInArrow(functools.partial(_scan, least_words), _SCHEMA), "units")
-    paragraphs = rows.where("bands is not null")
+    spark = docs.sparkSession
+    small_batches(spark)
+    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    with tidy_shuffles(spark):
+        rows, rows_at = settled(source.mapInArrow(functools.partial(_scan, least_words), _SCHEMA), "units", True)
+        out = materialize(_repeated_paragraphs(rows.where("bands is not null"), similarity), "repeats")
+        shared = materialize(_repeated_windows(rows.where("bands is null")), "passages")
+        discard(spark, rows_at)
+        far = _reach(shared, source)
+    return out.unionByName(_extended(shared, far))
+
+
+def _repeated_paragraphs(paragraphs: DataFrame, similarity: float) -> DataFrame:
+    """Occurrences of paragraphs that repeat in another document, by their clusters."""
     found = link_paragraphs(paragraphs, similarity)
     place = F.struct("doc_id", "start")
     classes = paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
@@ -345,12 +358,11 @@ def find_repeats(docs: DataFrame, similarity: float = SIMILARITY, least_words: i
     names = join_hot(named.select("h", "root", "rows"), clusters, "root", named.count())
     names = materialize(names.select("h", "cluster", F.col("rows").alias("n")), "names")
     again = join_hot(paragraphs.select("doc_id", "start", "end", "h"), names, "h", _rows_of(names))
-    out = again.select(
+    return again.select(
         "doc_id", F.lit("paragraph").alias("unit"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
         F.col("cluster.doc_id").alias("cluster_doc"), F.col("cluster.start").alias("cluster_start"),
         F.col("cluster").eqNullSafe(F.struct("doc_id", "start")).alias("kept"),
     )
-    return out.unionByName(_repeated_windows(rows.where("bands is null"), source.select(F.col("doc_id").cast("long"), "text")))
 
 
 def _rows_of(names: DataFrame) -> int:
@@ -376,25 +388,27 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _extended(passages: DataFrame, source: DataFrame) -> DataFrame:
-    """``passages`` (materialized) with ``left`` and ``right``: words by which the match goes on beyond its windows.
+_PASSAGE = ["doc_id", "cluster_doc", "passage"]
+_SIDES = [("left", "start", "first"), ("right", "end", "last")]
+
+
+def _reach(passages: DataFrame, source: DataFrame) -> DataFrame:
+    """Words by which the match of each copy of ``passages`` (materialized) goes on at each side of its windows.
 
     A run of ``WINDOW + SLIDE - 1`` shared words has a recorded window, so that no
-    more than ``SLIDE - 1`` words are left at either side. What is kept goes as far
-    as its farthest copy.
+    more than ``SLIDE - 1`` words are left at either side.
     """
-    keys = ["doc_id", "cluster_doc", "passage"]
+    spark = passages.sparkSession
     place = lambda doc, at: F.struct(F.col(doc).alias("doc_id"), F.col(at).cast("int").alias("at"))
     copies = passages.where("doc_id != cluster_doc")
-    sides = [("left", "start", "first"), ("right", "end", "last")]
-    ends = [copies.select(*keys, F.lit(s).alias("side"), place("doc_id", x).alias("a"), place("cluster_doc", y).alias("b")) for s, x, y in sides]
-    ends = materialize(ends[0].unionByName(ends[1]), "ends")
+    ends = [copies.select(*_PASSAGE, F.lit(s).alias("side"), place("doc_id", x).alias("a"), place("cluster_doc", y).alias("b")) for s, x, y in _SIDES]
+    ends, ends_at = settled(ends[0].unionByName(ends[1]), "ends", True)
     asked = ends.select("a.*").union(ends.select("b.*")).groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     found = source.join(asked, "doc_id").mapInArrow(_edges, "doc_id long, at int, before array<long>, after array<long>")
     # rows of one id with different texts have no words of their own at a place
     words = F.struct("before", "after")
     found = found.groupBy("doc_id", "at").agg(F.min(words).alias("w"), F.max(words).alias("x")).where("w = x")
-    found = materialize(found.select(F.struct("doc_id", "at").alias("b"), "w"), "edges")
+    found, found_at = settled(found.select(F.struct("doc_id", "at").alias("b"), "w"), "edges", True)
     counts = ends.groupBy("b").agg(F.count("*").alias("n"))
     both = join_hot(ends, found.join(counts, "b"), "b", ends.count()).withColumnRenamed("w", "wb")
     both = both.join(found.select(F.col("b").alias("a"), F.col("w").alias("wa")), "a")
@@ -404,20 +418,32 @@ def _extended(passages: DataFrame, source: DataFrame) -> DataFrame:
         differs = F.array_position(same, False)
         return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
 
-    far = both.select(*keys, "b", "side", F.when(F.col("side") == "left", common("before")).otherwise(common("after")).alias("far"))
+    far = both.select(*_PASSAGE, "b", "side", F.when(F.col("side") == "left", common("before")).otherwise(common("after")).alias("far"))
     far = materialize(far, "far")
-    own = far.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == s, F.col("far"))).alias(s) for s, _, _ in sides])
-    out = copies.join(own, keys, "left")
+    for path in (ends_at, found_at):
+        discard(spark, path)
+    return far
+
+
+def _extended(passages: DataFrame, far: DataFrame) -> DataFrame:
+    """Occurrences of ``passages`` to the ends of their matches. What is kept goes as far as its farthest copy."""
+    own = far.groupBy(*_PASSAGE).agg(*[F.max(F.when(F.col("side") == s, F.col("far"))).alias(s) for s, _, _ in _SIDES])
+    out = passages.where("doc_id != cluster_doc").join(own, _PASSAGE, "left")
     firsts = passages.where("doc_id = cluster_doc")
-    for s, x, _ in sides:
+    for s, x, _ in _SIDES:
         most = far.where(F.col("side") == s).groupBy(F.col("b.doc_id").alias("doc_id"), F.col("b.at").alias(x)).agg(F.max("far").alias(s))
         firsts = firsts.join(most, ["doc_id", x], "left")
     out = out.unionByName(firsts)
-    return out.withColumn("left", F.coalesce("left", F.lit(0))).withColumn("right", F.coalesce("right", F.lit(0)))
+    out = out.withColumn("left", F.coalesce("left", F.lit(0))).withColumn("right", F.coalesce("right", F.lit(0)))
+    return out.select(
+        "doc_id", F.lit("passage").alias("unit"), (F.col("start") - F.col("left")).alias("start_word"),
+        (F.col("end") + F.col("right")).alias("end_word"), "cluster_doc", (F.col("first") - F.col("left")).alias("cluster_start"),
+        (F.col("doc_id") == F.col("cluster_doc")).alias("kept"),
+    )
 
 
-def _repeated_windows(windows: DataFrame, source: DataFrame) -> DataFrame:
-    """Windows that two documents share, overlapping ones of a document joined to passages and extended."""
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """Windows that two documents share, overlapping ones of a document joined to passages."""
     windows = windows.select("doc_id", "start", "end", "h")
     seen = windows.groupBy("h").agg(
         F.min(F.struct("doc_id", "start")).alias("cluster"), F.max("doc_id").alias("last"), F.count("*").alias("n")
@@ -432,16 +458,10 @@ def _repeated_windows(windows: DataFrame, source: DataFrame) -> DataFrame:
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = again.withColumn("new", F.coalesce(F.col("start") > far, F.lit(True)).cast("int"))
     marked = marked.withColumn("passage", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = marked.groupBy(*keys, "passage").agg(
+    return marked.groupBy(*keys, "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first"))["first"].alias("first"),
         (F.max(F.struct("end", "first"))["first"] + WINDOW).alias("last"),
     )
-    joined = _extended(materialize(joined, "passages"), source)
-    return joined.select(
-        "doc_id", F.lit("passage").alias("unit"), (F.col("start") - F.col("left")).alias("start_word"),
-        (F.col("end") + F.col("right")).alias("end_word"), "cluster_doc", (F.col("first") - F.col("left")).alias("cluster_start"),
-        (F.col("doc_id") == F.col("cluster_doc")).alias("kept"),
-    )
 
 
 def _without(text: str | None, spans: list[tuple[int, int]] | None) -> str | None:

@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from cellframe.core import shared_dir
 from cellframe.llm import blocks, embeddings, passages, simhash
 from cellframe.links import components
 
@@ -296,6 +299,30 @@ def test_passages_are_reported_to_their_ends(spark):
     assert all(left[2 * g + 1] == 157 for g in range(8))
 
 
+def test_repeats_leave_little_on_disk(spark):
+    """Neither units nor shuffle files outlive their use; what is left can be read again and again."""
+    rng = random.Random(23)
+    shared = prose(rng, 60, 10**6)
+    docs = documents(spark, [(i, f"{prose(rng, 70, 10**6)}\n{prose(rng, 40 + i, 10**6)} {shared} {prose(rng, 90, 10**6)}") for i in range(20)])
+    folder, manager = Path(shared_dir(spark).removeprefix("file:"), "cellframe"), spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    tables, shuffles, setting = set(folder.glob("*")), shuffled(), dict(spark.conf.getAll)
+    found = passages.find_repeats(docs)
+    left = {x.name.split("-")[0] for x in set(folder.glob("*")) - tables}
+    assert {"repeats", "passages", "far"} <= left and not left & {"units", "ends", "edges"}
+    late = time.monotonic() + 5
+    while shuffled() - shuffles and time.monotonic() < late:
+        time.sleep(0.1)
+    assert not shuffled() - shuffles
+    assert {k: v for k, v in spark.conf.getAll.items() if "fileCleanup" in k} == {k: v for k, v in setting.items() if "fileCleanup" in k}
+    first = sorted(found.collect())
+    assert {r.doc_id for r in first} == set(range(20)) and first == sorted(found.collect())
+
+
 def test_winnowing_keeps_its_promise():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
